@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_decontamination
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .near_dedup import op2_near_dedup
 from .sharding import op4_sharding
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op8_decontamination": op8_decontamination,
