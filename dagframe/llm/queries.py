@@ -6,6 +6,8 @@ from .decontamination import OP8_SQL, op8_decontamination
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .near_dedup import op2_near_dedup
 from .sharding import op4_sharding
+from .token_counts import op6_token_counts
+from .toxicity import op5_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -13,6 +15,8 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
     "op8_decontamination": op8_decontamination,
 }
 ORACLES = {
