@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP8_SQL, op8_decontamination
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .lm_scoring import op7_lm_scoring
+from .mixing import op9_mixing
 from .near_dedup import op2_near_dedup
 from .sharding import op4_sharding
 from .token_counts import op6_token_counts
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
+    "op9_mixing": op9_mixing,
 }
 ORACLES = {
     "op1_url_filter": OP1_SQL,
