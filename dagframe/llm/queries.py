@@ -8,6 +8,7 @@ from .lm_scoring import op7_lm_scoring
 from .mixing import op9_mixing
 from .near_dedup import op2_near_dedup
 from .sharding import op4_sharding
+from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op5_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
     "op1_url_filter": OP1_SQL,
