@@ -13,12 +13,18 @@ TYPES = ("int", "double", "date", "string")
 _SQL = {"int": "INT", "double": "DOUBLE", "date": "TIMESTAMP", "string": "STRING"}
 
 
-def resolve(df: DataFrame, ref: str) -> str:
-    """A column's name, from the name or its place ``_cN``."""
-    if ref in df.columns:
+class Name(str):
+    """A column's name, as opposed to a reference that may be a place."""
+
+
+def resolve(df: DataFrame, ref: str) -> Name:
+    """A column's name, from its place ``_cN`` or the name. Places come first: they are counted anew in each output."""
+    if isinstance(ref, Name):
         return ref
     if (m := re.fullmatch(r"_c(\d+)", ref or "")) and int(m[1]) < len(df.columns):
-        return df.columns[int(m[1])]
+        return Name(df.columns[int(m[1])])
+    if ref in df.columns:
+        return Name(ref)
     raise KeyError(f"no column {ref} among {', '.join(df.columns)}")
 
 

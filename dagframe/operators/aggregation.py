@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import column, numeric, resolve, unique
+from ..functions.columns import Name, column, numeric, resolve, unique
 from .registry import register_operator
 
 _TEXT = {"type": "string"}
@@ -38,13 +38,13 @@ def group_by(session, inputs, p):
 @register_operator("GroupByFinal", title="Global group-by", about="Merges partial aggregates by their first column.", properties={"aggregationFunction": {"type": "string"}}, required=("aggregationFunction",), blocking=True)
 def group_by_final(session, inputs, p):
     (df,) = inputs
-    key, value = df.columns[0], df.columns[1]
+    key, value = map(Name, df.columns[:2])
     function = p["aggregationFunction"]
     v = numeric(df, value)
     if function == "avg":
         if len(df.columns) < 3:
             raise ValueError("the partial average has a sum and a count")
-        merged, name = F.sum(v) / F.sum(numeric(df, df.columns[2])), value.replace("sum_", "avg_", 1)
+        merged, name = F.sum(v) / F.sum(numeric(df, Name(df.columns[2]))), value.replace("sum_", "avg_", 1)
     elif function in ("max", "min", "sum"):
         merged, name = {"max": F.max, "min": F.min, "sum": F.sum}[function](v), value
     else:

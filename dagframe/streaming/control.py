@@ -223,8 +223,9 @@ class StreamRun:
 
     def results(self) -> DataFrame:
         """What has been delivered so far."""
-        low = self.engine.lower(self.flow, fuse=False)
-        schema = low.frames[self.sink].schema
+        name, spark = self.flow.nodes[self.source].properties["tableName"], self.engine.spark
+        whole = Engine(spark, dict(self.engine.tables) | {name: spark.read.parquet(self._path())}, self.engine._sentiment, self.work_dir)
+        schema = whole.lower(self.flow, fuse=False).frames[self.sink].schema
         return self.engine.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{self.work_dir}/out")
 
 
