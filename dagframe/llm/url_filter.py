@@ -87,12 +87,12 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645, two
     """``host, n_labelled, bad_rate, bad_bound`` for each distinct host of ``hosts(host)``.
 
     ``outcomes(host, bad)``: labelled pages, ``bad`` 0 or 1; rows with a null are ignored and repeated
-    rows count each. Without any outcome, all hosts get the flat prior's mean of one half.
+    rows count each. Without any outcome, all hosts get the flat prior's mean of one half and a bound of zero.
     """
     seen = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("b"))
     seen = seen.withColumns({"domain": domain_of(F.col("host"), two_label), "suffix": suffix_of(F.col("host"), two_label)})
     n, b = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    overall = (b + 1.0) / (n + 2.0)
+    overall, any_seen = (b + 1.0) / (n + 2.0), n > 0
 
     shrunk = lambda k: ((F.col("b") + k * F.col("mean")) / (F.col("n") + k)).alias("mean")
     sums = (F.sum("n").alias("n"), F.sum("b").alias("b"))
@@ -113,7 +113,7 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645, two
     n, b = F.coalesce("n", F.lit(0)), F.coalesce("b", F.lit(0))
     rate, weight = (b + k * prior) / (n + k), n + k
     bound = rate - z * F.sqrt(rate * (1 - rate) / (weight + 1))
-    return every.select("host", n.cast("long").alias("n_labelled"), rate.alias("bad_rate"), bound.alias("bad_bound"))
+    return every.select("host", n.cast("long").alias("n_labelled"), rate.alias("bad_rate"), (bound if any_seen else F.lit(0.0)).alias("bad_bound"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, max_bad: float = 0.2, z: float = 1.645, url_col: str = "url") -> DataFrame:
