@@ -9,6 +9,12 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def extended(fields: T.StructType, ddl: str) -> T.StructType:
+    """A schema with more columns behind."""
+    return T.StructType([*fields, *T.StructType.fromDDL(ddl)])
 
 
 def scratch_dir(spark: SparkSession) -> str:

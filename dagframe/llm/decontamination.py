@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import extended
 from ._words import ALNUM, LOWER, chunks, hashes, spans
 
 WINDOW = 13
@@ -156,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     [*names, "n_words", "hit_spans", "items"],
                 )
 
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long", f"hit_spans {found_type}", "items array<string>"])
+        schema = extended(fields, f"n_words long, hit_spans {found_type}, items array<string>")
         out = out.mapInArrow(search, schema)
     out = out.withColumn("n_hit", F.aggregate("hit_spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["first"]))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(min_share) * F.col("n_words")))

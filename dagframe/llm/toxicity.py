@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import extended
 from ._words import ALNUM, LOWER, chunks, hashes, mix, spans
 
 BUCKETS = 1 << 20
@@ -163,7 +164,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
                 [*(f.name for f in fields), "severity", "p_toxic", "grade", "toxic"],
             )
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "severity double, p_toxic double, grade int, toxic boolean"])
+    schema = extended(fields, "severity double, p_toxic double, grade int, toxic boolean")
     return docs.mapInArrow(scored, schema)
 
 

@@ -128,9 +128,9 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] =
     pages = pages.drop(*made).withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
     outcomes = outcomes.select(url_host(F.col("url")).alias("host"), "bad")
     known = host_reputation(pages, outcomes, z)
-    pages = pages.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules)).join(known, "host")
+    pages = pages.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).join(known, "host")
     method = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")
-    return pages.withColumns({"rule": F.col("_rule.text"), "verdict": F.coalesce(F.col("_rule.action"), method)}).drop("_rule")
+    return pages.withColumns({"rule": F.col("rule.text"), "verdict": F.coalesce(F.col("rule.action"), method)})
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ def docs(spark):
     """Makes a documents table of (doc_id, text) rows, with columns whose names clash with results and internals."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, "x", 1, True) for i, t in rows], "doc_id long, text string, shard string, n long, kept boolean")
+        return spark.createDataFrame([(i, t, "x", 1, True, 2, None) for i, t in rows], "doc_id long, text string, shard string, n long, kept boolean, id int, `odd name` struct<`a.b`:int>")
 
     return make
 
