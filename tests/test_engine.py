@@ -176,3 +176,15 @@ def test_samples(spark):
     e = Engine.over(spark, "/root/testdata/sf0.001")
     for w in (samples.sorted_quantities(), samples.order_count_distribution(), samples.quantity_by_flag()):
         assert next(iter(e.execute(w).values())).count() > 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from dagframe.__main__ import main
+
+    (tmp_path / "plan.json").write_text(json.dumps({"logicalPlan": samples.quantity_by_flag().to_plan()}))
+    assert main([str(tmp_path / "plan.json"), "--tables", "/root/testdata/sf0.001"]) == 0
+    assert len(json.loads(capsys.readouterr().out)["result"]) == 3
+    assert main([str(tmp_path / "plan.json"), "--tables", "/root/testdata/sf0.001", "--out", str(tmp_path / "out"), "--format", "parquet"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    (tmp_path / "bad.json").write_text('{"operators": [], "links": []}')
+    assert main([str(tmp_path / "bad.json")]) == 1
