@@ -25,12 +25,10 @@ SHARPNESS = 20.0
 #: Parameters of the query.
 TARGETS = {"en": 0.5, "fr": 0.18, "de": 0.18, "es": 0.14}
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 
 def _words(text: Column) -> Column:
-    """Lower-cased words; white space is one of six ASCII characters."""
-    return F.split(F.translate(text, _UPPER + "\t\n\x0b\x0c\r", _LOWER + "     "), " ")
+    """Lower-cased words; white space is one of six ASCII characters. Some may be empty."""
+    return F.split(F.lower(text), "[ \t\n\x0b\f\r]+")
 
 
 def _bucket(word: Column) -> Column:
