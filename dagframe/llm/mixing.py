@@ -117,12 +117,11 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id", seed: int = 0) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as their rates say, with the columns of ``docs``."""
-    rates = mixing_rates(docs, labelled, targets, text_col, id_col, seed).where("repeats > 0").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("repeats").alias("_repeats"))
+    rates = mixing_rates(docs, labelled, targets, text_col, id_col, seed).where("repeats > 0").select("id", "hash", "repeats")
     own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    docs = docs.withColumn("_own", own)
-    joined = docs.join(rates, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    again = joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-    return again.drop("_own", "_id", "_hash", "_repeats", "_again")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"), own.alias("own_hash"))
+    joined = rows.join(rates, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
 
 
 def labelled_languages(spark, sf_dir: str) -> DataFrame:
