@@ -25,7 +25,7 @@ from ._shared import Membership, Scratch, runs
 
 MEMTABLE = 1 << 16
 #: Rows of a group that are compared with one copy of the text that stays.
-SALT_ROWS = 1000
+SALT_ROWS = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
