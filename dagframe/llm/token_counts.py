@@ -15,13 +15,19 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import extended
+from ._words import _tables, hashes, mix
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: A task's trie is begun anew beyond so many nodes; counts do not depend on it.
-MAX_NODES = 400_000
+#: A task forgets its pre-tokens' counts beyond so many and begins anew; results do not depend on it.
+MAX_KNOWN = 400_000
+#: Longer pre-tokens have no place in the trie.
+LONG = 64
 _PRETOKEN = re.compile(rb"[\x20\x09-\x0D]?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]")
 
 
@@ -38,67 +44,100 @@ def load_vocabulary(path: str = VOCABULARY) -> dict[bytes, float]:
 
 
 class PretokenTrie:
-    """``count(pretoken)``: pieces in its best segmentation; of equal scores the first longest last piece's."""
+    """``counts(pretokens)``: pieces in the best segmentation of each; of equal scores, that whose last piece begins first.
+
+    Pre-tokens that are new are inserted together, sorted, so that neighbours share their prefixes, and
+    the trie's nodes are scored level by level: a node looks at all pieces that end in it, told by
+    64-bit hashes. ``nodes`` counts the nodes scored so far.
+    """
 
-    def __init__(self, vocabulary: dict[bytes, float], max_nodes: int = MAX_NODES):
-        self.vocabulary, self.max_nodes = vocabulary, max_nodes
-        self.longest = max(map(len, vocabulary), default=1)
+    def __init__(self, vocabulary: dict[bytes, float], max_known: int = MAX_KNOWN):
+        self.vocabulary, self.max_known, self.nodes = vocabulary, max_known, 0
         #: A byte that is no piece counts as one token, at a score below all pieces.
         self.unknown = min(vocabulary.values(), default=0.0) - 10.0
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.score, self.pieces = array("d", [0.0]), array("q", [0])
         self.terminal: dict[bytes, int] = {b"": 0}
-
-    def count(self, pretoken: bytes) -> int:
-        """Pre-tokens longer than a thousand bytes are segmented without being held in the trie."""
-        found = self.terminal.get(pretoken)
-        if found is None:
-            if len(self.score) > self.max_nodes:
-                self.clear()
-            held = len(pretoken) <= 1000
-            found = self._insert(pretoken) if held else self._alone(pretoken)
-            if held:
-                self.terminal[pretoken] = found
-        return found
-
-    def _best(self, text: bytes, end: int, score, pieces) -> tuple[float, int]:
-        vocabulary, best, n = self.vocabulary, -math.inf, 0
-        for start in range(max(0, end - self.longest), end):
-            logp = vocabulary.get(text[start:end])
-            if logp is None:
-                if start < end - 1:
-                    continue
-                logp = self.unknown
-            if (s := score(start) + logp) > best:
-                best, n = s, pieces(start) + 1
-        return best, n
-
-    def _insert(self, text: bytes) -> int:
-        child, path = self.child, [0]
-        for end, byte in enumerate(text, 1):
-            key = path[-1] << 8 | byte
-            node = child.get(key)
-            if node is None:
-                best, n = self._best(text, end, lambda k: self.score[path[k]], lambda k: self.pieces[path[k]])
-                node = child[key] = len(self.score)
-                self.score.append(best)
-                self.pieces.append(n)
-            path.append(node)
-        return self.pieces[path[-1]]
+        pieces = sorted(vocabulary)
+        ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
+        names = hashes(np.frombuffer(b"".join(pieces), np.uint8), ends - [len(p) for p in pieces], ends) if pieces else np.zeros(0, np.uint64)
+        order = np.argsort(names)
+        self._names, self._logps = names[order], np.array([vocabulary[p] for p in pieces])[order]
+        self._bytes = np.array([vocabulary.get(bytes([k]), self.unknown) for k in range(256)])
+        #: The longest piece that ends in these two bytes.
+        self._longest = np.ones(1 << 16, np.int64)
+        for p in pieces:
+            if len(p) > 1:
+                self._longest[p[-2] << 8 | p[-1]] = max(len(p), self._longest[p[-2] << 8 | p[-1]])
+
+    def counts(self, pretokens: list[bytes]) -> list[int]:
+        """Pre-tokens of over ``LONG`` bytes are segmented alone."""
+        known = self.terminal
+        new = sorted({w for w in pretokens if w not in known})
+        if len(known) + len(new) > self.max_known:
+            self.terminal = known = {b"": 0}
+            new = sorted(set(pretokens))
+        short = [w for w in new if 0 < len(w) <= LONG]
+        for k in range(0, len(short), 20_000):
+            self._insert(short[k : k + 20_000])
+        for w in new:
+            if len(w) > LONG:
+                known[w] = self._alone(w)
+        return [known[w] for w in pretokens]
+
+    def _insert(self, words: list[bytes]) -> None:
+        size = np.array([len(w) for w in words])
+        width = int(size.max())
+        text = np.zeros((len(words), width), np.uint8)
+        text[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        power, inverse = _tables(width + 1)
+        total = np.zeros((len(words), width + 1), np.uint64)
+        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[:width], axis=1, out=total[:, 1:])
+        differs = text[1:] != text[:-1]
+        shared = np.zeros(len(words), np.int64)
+        shared[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+        shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
+        depth = np.arange(1, width + 1)
+        new = (depth > shared[:, None]) & (depth <= size[:, None])
+        node = np.zeros((len(words), width + 1), np.int64)
+        node[:, 1:] = np.where(new, np.cumsum(new).reshape(new.shape), 0)
+        node = np.maximum.accumulate(node, axis=0)
+        score, pieces = np.zeros(node.max() + 1), np.zeros(node.max() + 1, np.int64)
+        for d in range(1, width + 1):
+            row = np.flatnonzero(new[:, d - 1])
+            last = text[row, d - 1]
+            best = score[node[row, d - 1]] + self._bytes[last]
+            n = pieces[node[row, d - 1]] + 1
+            longest = np.minimum(self._longest[text[row, d - 2].astype(np.int64) << 8 | last], d) if d > 1 else np.ones(len(row), np.int64)
+            for size_ in range(2, int(longest.max(initial=1)) + 1):
+                at = np.flatnonzero(longest >= size_)
+                r = row[at]
+                name = mix((total[r, d] - total[r, d - size_]) * inverse[d - size_] + np.uint64(size_))
+                k = np.minimum(np.searchsorted(self._names, name), len(self._names) - 1)
+                hit = np.flatnonzero(self._names[k] == name)
+                at, r, k = at[hit], r[hit], k[hit]
+                from_ = node[r, d - size_]
+                s = score[from_] + self._logps[k]
+                up = s >= best[at]
+                best[at[up]], n[at[up]] = s[up], pieces[from_[up]] + 1
+            at = node[row, d]
+            score[at], pieces[at] = best, n
+        self.nodes += len(score) - 1
+        self.terminal.update(zip(words, pieces[node[np.arange(len(words)), size]].tolist()))
 
     def _alone(self, text: bytes) -> int:
-        score, pieces = [0.0], [0]
+        score, pieces, logp = [0.0], [0], self.vocabulary.get
         for end in range(1, len(text) + 1):
-            best, n = self._best(text, end, score.__getitem__, pieces.__getitem__)
+            best, n = score[-1] + logp(text[end - 1 : end], self.unknown), pieces[-1] + 1
+            longest = int(self._longest[text[end - 2] << 8 | text[end - 1]]) if end > 1 else 1
+            for start in range(end - 2, max(0, end - longest) - 1, -1):
+                p = logp(text[start:end])
+                if p is not None and score[start] + p >= best:
+                    best, n = score[start] + p, pieces[start] + 1
             score.append(best)
             pieces.append(n)
         return pieces[-1]
 
 
-def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, max_nodes: int = MAX_NODES) -> DataFrame:
+def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, max_known: int = MAX_KNOWN) -> DataFrame:
     """``docs`` with ``n_bytes, n_pretokens, n_tokens`` (long).
 
     Null text counts as empty: all three are 0. Repeated rows are counted each; columns with the
@@ -109,25 +148,23 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCA
     fields, held = docs.schema, docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PretokenTrie(held.value, max_nodes)
+        trie = PretokenTrie(held.value, max_known)
         for b in batches:
-            sizes, words, tokens = [], [], []
-            for text in b.column(text_col).cast(pa.binary()).to_pylist():
-                cut = pretokens(text or b"")
-                known = trie.terminal
-                n = 0
-                for w in cut:
-                    k = known.get(w)
-                    if k is None:
-                        k = trie.count(w)
-                        known = trie.terminal
-                    n += k
-                sizes.append(len(text or b""))
-                words.append(len(cut))
-                tokens.append(n)
+            texts = [t or b"" for t in b.column(text_col).cast(pa.binary()).to_pylist()]
+            words, tokens, part, size = [], [], [], 0
+            for k, t in enumerate(texts):
+                part.append(pretokens(t))
+                words.append(len(part[-1]))
+                size += len(t)
+                if size > 1 << 20 or k == len(texts) - 1:
+                    flat = trie.counts([w for p in part for w in p])
+                    ends = np.cumsum([0] + [len(p) for p in part])
+                    tokens.extend(np.diff(np.concatenate([[0], np.cumsum(flat, dtype=np.int64)])[ends]).tolist())
+                    part, size = [], 0
+            sizes = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), *(pa.array(x, pa.int64()) for x in (sizes, words, tokens))], [*(f.name for f in fields), "n_bytes", "n_pretokens", "n_tokens"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_pretokens long, n_tokens long"])
+    schema = extended(fields, "n_bytes long, n_pretokens long, n_tokens long")
     return docs.mapInArrow(counted, schema)
 
 

@@ -19,21 +19,21 @@ def brute(text, vocabulary, unknown):
 def test_trie_against_brute_force():
     r = random.Random(5)
     some = [bytes(r.choice(b"abc ") for _ in range(r.randrange(12))) for _ in range(400)]
-    for nodes in (10, 10_000):
-        trie = PretokenTrie(WORDS, nodes)
-        assert [trie.count(w) for w in some] == [brute(w, WORDS, trie.unknown) for w in some]
+    for known in (10, 10_000):
+        trie = PretokenTrie(WORDS, known)
+        want = [brute(w, WORDS, trie.unknown) for w in some]
+        assert trie.counts(some) == want and [trie.counts([w])[0] for w in some] == want
 
 
 def test_prefixes_are_scored_once():
     trie = PretokenTrie(WORDS)
-    for w in (b"abab", b"abaa", b"ab"):
-        trie.count(w)
-    assert len(trie.score) == 6
+    trie.counts([b"abab", b"abaa", b"ab", b"abab"])
+    assert trie.nodes == 5
 
 
 def test_long_pretokens_are_not_held():
     trie = PretokenTrie(WORDS)
-    assert trie.count(b"ab" * 1000) == brute(b"ab" * 1000, WORDS, trie.unknown) and len(trie.score) == 1
+    assert trie.counts([b"ab" * 1000]) == [brute(b"ab" * 1000, WORDS, trie.unknown)] and trie.nodes == 0
 
 
 def test_pretokens_cover_the_text():
@@ -49,5 +49,5 @@ def test_public_vocabulary_and_edge_rows(docs):
     assert abs(sum(math.exp(v) for v in vocabulary.values()) - 1) < 1e-9
     for r in got:
         cut = pretokens((r["text"] or "").encode())
-        assert (r["n_bytes"], r["n_pretokens"], r["n_tokens"]) == (len((r["text"] or "").encode()), len(cut), sum(brute(w, vocabulary, trie.unknown) if len(w) < 50 else trie.count(w) for w in cut))
+        assert (r["n_bytes"], r["n_pretokens"], r["n_tokens"]) == (len((r["text"] or "").encode()), len(cut), sum(brute(w, vocabulary, trie.unknown) if len(w) < 50 else trie.counts([w])[0] for w in cut))
     assert len(got) == 6 and count_tokens(docs([])).collect() == []
