@@ -23,7 +23,7 @@ BUCKETS = 1 << 20
 PREFIXES = (5, 6, 7)
 OFTEN = 3
 #: At most so many labelled rows fit the model: those with the smallest hashes of their ids.
-MAX_LABELLED = 10_000
+MAX_LABELLED = 8_000
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -57,17 +57,18 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, flags: int = 2 *
     high = grades > 0
     if not high.any() or high.all():
         return OrdinalModel(weights, cuts)
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    cols = np.concatenate(features) if features else np.zeros(0, np.int64)
     n1, n0 = high.sum(), (~high).sum()
-    c1, c0 = (np.bincount(cols[m], minlength=flags) for m in (high[rows], ~high[rows]))
+    c1, c0 = np.zeros(flags), np.zeros(flags)
+    for f, h in zip(features, high):
+        (c1 if h else c0)[f] += 1
     p = (c1 + c0) / len(grades)
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     chosen = np.flatnonzero((c1 + c0 >= min_rows) & (z >= min_z))
     place = np.full(flags, -1)
     place[chosen] = np.arange(len(chosen))
-    use = place[cols] >= 0
-    rows, cols = rows[use], place[cols[use]]
+    kept = [place[f][place[f] >= 0] for f in features]
+    rows, cols = np.repeat(np.arange(len(kept)), [len(k) for k in kept]), np.concatenate(kept)
+    del c1, c0, p, z, place
     rng, n = np.random.default_rng(0), len(grades)
     parts = [(rows, cols)]
     for copy in range(1, thinned + 1):
@@ -135,7 +136,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
 
     got = rows.mapInArrow(described, "id long, grade int, features binary").toArrow().sort_by([("id", "ascending"), ("grade", "ascending")])
     kept = {f: g for f, g in zip(got["features"].to_pylist(), got["grade"].to_pylist())}
-    return fit_ordinal([np.frombuffer(f, np.int32).astype(np.int64) for f in kept], np.array(list(kept.values()), np.int64))
+    return fit_ordinal([np.frombuffer(f, np.int32) for f in kept], np.array(list(kept.values()), np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshold: float = 0.25) -> DataFrame:
