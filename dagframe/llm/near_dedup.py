@@ -67,11 +67,19 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def n_trees(threshold: float, recall: float, depth: int = DEPTH, extra: float = 0.25) -> int:
-    """Trees needed for a pair at the threshold to share a leaf at the last level with probability ``recall``."""
-    p = 1.0
+    """Trees needed for a pair at the threshold to share a leaf at the last level with probability ``recall``.
+
+    All trees draw from the same tokens, so the chance of a miss is averaged over how many of them agree.
+    """
+    agree = np.arange(COORDS + 1) / COORDS
+    share = np.array([math.comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k) for k in range(COORDS + 1)])
+    p = np.ones(COORDS + 1)
     for _ in range(depth):
-        p = (1 - extra) * threshold * p + extra * (1 - (1 - threshold * p) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+        p = (1 - extra) * agree * p + extra * (1 - (1 - agree * p) ** 2)
+    trees = 1
+    while share @ (1 - p) ** trees > 1 - recall:
+        trees += 1
+    return trees
 
 
 def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -82,3 +82,19 @@ def test_pieces():
     assert len(s) == 2996 and abs(np.mean(signature(s) == signature(t)) - 0.8) < 0.2
     assert len(shingle_set(w[:3], 5)) == 1 and len(shingle_set(w[:0], 5)) == 0
     assert N._similar(np.zeros((3, 64), np.uint8), 0.5)[0].tolist() == [0, 0, 1]
+
+
+def test_trees_reach_the_recall():
+    """Pairs at the threshold that have to survive all levels, through the trees as they are."""
+    r, n, trees = np.random.default_rng(5), 30_000, n_trees(0.8, 0.999)
+    a = r.integers(0, 1 << 32, (n, N.COORDS), dtype=np.uint32)
+    b = np.where(r.random(a.shape) < 0.8, a, a ^ np.uint32(1))
+    found = np.zeros(n, bool)
+    for t in range(trees):
+        pair, node = np.arange(n), np.full(n, t, np.uint64)
+        for _ in range(N.DEPTH):
+            rows, x = N._children(node, a[pair])
+            y = N._children(node, b[pair])[1]
+            pair, node = pair[rows][x == y], x[x == y]
+        found[pair] = True
+    assert (~found).mean() < 0.0016
