@@ -23,9 +23,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: that with the smallest id. Rows without an id stay."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group of near duplicates: that with the smallest id, of several the least hash of its text.
+
+    A row without an id is kept if its whole group has none. Rows without words stay.
+    """
+    found = near_duplicates(docs, rows_named=True).where("root is not null")
+    each = Scratch(spark, "pipeline").keep(found.groupBy("root", "id", "hash").agg(F.count(F.lit(1)).alias("n")))
+    least = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("low"))
+    first = F.col("id").eqNullSafe(F.col("low.id")) & (F.col("hash") == F.col("low.hash"))
+    judged = each.join(least, "root").select("id", "hash", "n", first.alias("first")).where("not first or n > 1")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text).alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash"))
+    once = rows.join(judged.where("first"), same, "left_semi").dropDuplicates(["own_id", "own_hash"])
+    return rows.join(judged, same, "left_anti").union(once).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

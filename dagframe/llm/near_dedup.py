@@ -123,8 +123,9 @@ def _similar(sig: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
     return i[order], j[order]
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, threshold: float = 0.8, recall: float = 0.999, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """One row per input row: ``id, n_shingles, component_id, kept``.
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, threshold: float = 0.8, recall: float = 0.999, leaf: int = LEAF, block: int = BLOCK, rows_named: bool = False) -> DataFrame:
+    """One row per input row: ``id, n_shingles, component_id, kept``; with ``rows_named`` also ``hash``, xxhash64 of
+    the text, and ``root``, which names the component itself (null without shingles).
 
     Words are runs of other than ASCII white space, A-Z lower-cased. Two documents are linked if
     the Jaccard similarity of their shingle sets is at least ``threshold``; ``component_id`` is the
@@ -136,7 +137,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
     floor = threshold - 5 * math.sqrt(threshold * (1 - threshold) / COORDS)
     percent = round(threshold * 10**6)
 
@@ -149,11 +151,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 node = np.array([set_hash(s) for s in sets], _U)
                 sig = [signature(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node.view(np.int64), mask=~some), pa.array(sig, pa.binary())],
-                    ["id", "n", "node", "sig"],
+                    [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node.view(np.int64), mask=~some), pa.array(sig, pa.binary()), b.column(2).slice(lo, hi - lo)],
+                    ["id", "n", "node", "sig", "hash"],
                 )
 
-    rows = scratch.keep(source.mapInArrow(described, "id long, n long, node long, sig binary"))
+    rows = scratch.keep(source.mapInArrow(described, "id long, n long, node long, sig binary, hash long"))
     nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies")))
 
     # The trees: candidates (a, b) by node of the join.
@@ -289,10 +291,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     named = nodes.join(classes, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("node", "component_id")
-    out = rows.select("id", "n", "node").join(named, "node", "left")
+    named = named.join(lowest, "root").select("node", "component_id", "root")
+    out = rows.select("id", "n", "node", "hash").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    more = ["hash", "root"] if rows_named else []
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *more)
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:

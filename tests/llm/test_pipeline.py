@@ -36,3 +36,12 @@ def test_each_stage_against_its_rule(spark, tmp_path):
 def test_run(spark):
     out = run(spark, FOLDER)
     assert out.count() > 100 and {"doc_id", "text", "shard", "slot"} <= set(out.columns)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, docs, words):
+    one, two, three = (words(k, 40, 5000) for k in range(3))
+    rows = [(1, one), (2, one + " x"), (2, two), (5, three), (5, three), (None, three), (None, "alone here"), (None, "alone here"), (7, ""), (7, ""), (8, None)]
+    got = corpus_pipeline.near_dedup(spark, docs(rows), FOLDER)
+    assert got.columns == docs([]).columns
+    want = [(1, one), (2, two), (5, three), (None, "alone here"), (7, ""), (7, ""), (8, None)]
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=repr) == sorted(want, key=repr)
