@@ -1,10 +1,10 @@
 """Token counts under a unigram vocabulary by dynamic programming over a trie of pre-tokens.
 
 A text is cut into pre-tokens: a word with the one white-space byte before it, or a single
-white-space byte. Each task inserts its distinct pre-tokens into a trie. A trie node is a prefix and
-holds the best score of any segmentation of it and that segmentation's length, computed once from
-the nodes above it; pre-tokens that share a prefix share that work, and a pre-token's terminal node
-gives its count. The pass has no exchange.
+white-space byte. Each task inserts its new distinct pre-tokens, at most 20,000 at a time, into a
+trie. A trie node is a prefix and holds the best score of any segmentation of it and that
+segmentation's length, computed from the nodes above it once in an insertion: pre-tokens inserted
+together share the work on their prefixes, and the counts of whole pre-tokens alone outlive it. The pass has no exchange.
 """
 
 from __future__ import annotations
