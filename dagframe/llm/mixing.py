@@ -10,6 +10,7 @@ own posterior, so the driver sees as many numbers as there are domains. DataFram
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,7 +103,7 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     """``id, hash, copies, tokens, p0.., rate, repeats`` for each distinct ``(id, text)``; ``hash``: xxhash64 of the text.
 
     ``targets``: a weight for each domain; ``labelled(text, domain)``. ``repeats``: how often the mix
-    takes each of the rows. Null text counts as empty; null ids are allowed. An empty table gives an
+    takes each of the rows. Warns of the shares reached where targets are missed. Null text counts as empty; null ids are allowed. An empty table gives an
     empty result.
     """
     if not targets or min(targets.values()) < 0 or not sum(targets.values()):
@@ -111,7 +112,10 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     table, priors = fit_domains(labelled, list(targets))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = scratch.keep(domain_posteriors(source, table, priors))
-    rate, _ = fit_rates(known, list(targets.values()))
+    rate, shares = fit_rates(known, list(targets.values()))
+    wanted = [t / sum(targets.values()) for t in targets.values()]
+    if any(shares) and max(abs(a - t) for a, t in zip(shares, wanted)) > 1e-4:
+        warnings.warn(f"targets are not met; the expected shares are {dict(zip(targets, shares))}", stacklevel=2)
     return known.withColumn("rate", rate).withColumn("repeats", _repeats(F.col("rate"), seed))
 
 

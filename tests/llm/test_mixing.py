@@ -61,3 +61,9 @@ def test_empty_and_bad(docs, spark):
     assert mix(docs([(1, "x y")]), none, {"a": 1, "b": 1}).count() == 1
     with pytest.raises(ValueError):
         mix(docs([]), none, {})
+
+
+def test_missed_targets_are_reported(docs, spark):
+    none = spark.createDataFrame([], "text string, domain string")
+    with pytest.warns(UserWarning, match="targets are not met"):
+        mixing_rates(docs([(1, "x y"), (2, "z")]), none, {"a": 9, "b": 1})
