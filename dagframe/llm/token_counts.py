@@ -1,10 +1,12 @@
 """Token counts under a unigram vocabulary by dynamic programming over a trie of pre-tokens.
 
 A text is cut into pre-tokens: a word with the one white-space byte before it, or a single
-white-space byte. Each task inserts its new distinct pre-tokens, at most 20,000 at a time, into a
-trie. A trie node is a prefix and holds the best score of any segmentation of it and that
-segmentation's length, computed from the nodes above it once in an insertion: pre-tokens inserted
-together share the work on their prefixes, and the counts of whole pre-tokens alone outlive it. The pass has no exchange.
+white-space byte. Each task keeps one trie and inserts its new distinct pre-tokens, at most 20,000 at a
+time. A trie node is a prefix and holds the best score of any segmentation of it and that
+segmentation's length, computed once from the nodes above it: all pre-tokens that a task meets share
+the work on their prefixes. Nodes that end a pre-token give its count. The pass has no exchange.
+
+Scores of pieces are not fitted: tokenizers are taken as they are, and their files have ranks only.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from ._words import _tables, hashes, mix
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A task forgets its pre-tokens' counts beyond so many and begins anew; results do not depend on it.
 MAX_KNOWN = 400_000
-#: Longer pre-tokens have no place in the trie.
+#: The same for nodes of its trie.
+MAX_NODES = 3_000_000
+#: Longer pre-tokens are inserted one by one, shorter ones together.
 LONG = 64
 _PRETOKEN = re.compile(rb"[\x20\x09-\x0D]?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]")
 
@@ -46,16 +50,15 @@ def load_vocabulary(path: str = VOCABULARY) -> dict[bytes, float]:
 class PretokenTrie:
     """``counts(pretokens)``: pieces in the best segmentation of each; of equal scores, that whose last piece begins first.
 
-    Pre-tokens that are new are inserted together, sorted, so that neighbours share their prefixes, and
-    the trie's nodes are scored level by level: a node looks at all pieces that end in it, told by
-    64-bit hashes. ``nodes`` counts the nodes scored so far.
+    Nodes are found by 64-bit hashes of their prefixes, in sorted arrays that are merged as they grow.
+    Pre-tokens that are new are inserted sorted, and the nodes that are new with them are scored level by
+    level: a node looks at all pieces that end in it. ``nodes`` counts the nodes scored so far.
     """
 
-    def __init__(self, vocabulary: dict[bytes, float], max_known: int = MAX_KNOWN):
-        self.vocabulary, self.max_known, self.nodes = vocabulary, max_known, 0
+    def __init__(self, vocabulary: dict[bytes, float], max_known: int = MAX_KNOWN, max_nodes: int = MAX_NODES):
+        self.vocabulary, self.max_known, self.max_nodes, self.nodes = vocabulary, max_known, max_nodes, 0
         #: A byte that is no piece counts as one token, at a score below all pieces.
         self.unknown = min(vocabulary.values(), default=0.0) - 10.0
-        self.terminal: dict[bytes, int] = {b"": 0}
         pieces = sorted(vocabulary)
         ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
         names = hashes(np.frombuffer(b"".join(pieces), np.uint8), ends - [len(p) for p in pieces], ends) if pieces else np.zeros(0, np.uint64)
@@ -67,23 +70,56 @@ class PretokenTrie:
         for p in pieces:
             if len(p) > 1:
                 self._longest[p[-2] << 8 | p[-1]] = max(len(p), self._longest[p[-2] << 8 | p[-1]])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.terminal: dict[bytes, int] = {b"": 0}
+        #: Node 0 is the root.
+        self.size, self._score, self._pieces = 1, np.zeros(1024), np.zeros(1024, np.int32)
+        self._index: list[tuple[np.ndarray, np.ndarray]] = []
 
     def counts(self, pretokens: list[bytes]) -> list[int]:
-        """Pre-tokens of over ``LONG`` bytes are segmented alone."""
         known = self.terminal
         new = sorted({w for w in pretokens if w not in known})
-        if len(known) + len(new) > self.max_known:
-            self.terminal = known = {b"": 0}
-            new = sorted(set(pretokens))
-        short = [w for w in new if 0 < len(w) <= LONG]
+        if len(known) + len(new) > self.max_known or self.size > self.max_nodes:
+            self._clear()
+            known = self.terminal
+            new = sorted(set(pretokens) - {b""})
+        short = [w for w in new if len(w) <= LONG]
         for k in range(0, len(short), 20_000):
             self._insert(short[k : k + 20_000])
         for w in new:
             if len(w) > LONG:
-                known[w] = self._alone(w)
+                known[w] = self._insert_long(w)
         return [known[w] for w in pretokens]
 
+    def _find(self, names: np.ndarray) -> np.ndarray:
+        """The nodes of prefixes, 0 where there is none yet."""
+        out = np.zeros(len(names), np.int64)
+        for keys, node in self._index:
+            at = np.minimum(np.searchsorted(keys, names), len(keys) - 1)
+            out = np.where(keys[at] == names, node[at], out)
+        return out
+
+    def _add(self, names: np.ndarray) -> np.ndarray:
+        """Nodes for prefixes that have none; their scores are still to be set."""
+        node = np.arange(self.size, self.size + len(names))
+        self.size, self.nodes = self.size + len(names), self.nodes + len(names)
+        if self.size > len(self._score):
+            more = max(self.size, 2 * len(self._score)) - len(self._score)
+            self._score, self._pieces = np.append(self._score, np.zeros(more)), np.append(self._pieces, np.zeros(more, np.int32))
+        order = np.argsort(names)
+        if len(names):
+            self._index.append((names[order], node[order]))
+        while len(self._index) > 1 and len(self._index[-2][0]) < 2 * len(self._index[-1][0]):
+            keys, nodes = (np.concatenate(x) for x in zip(self._index.pop(), self._index.pop()))
+            order = np.argsort(keys, kind="stable")
+            self._index.append((keys[order], nodes[order]))
+        return node
+
     def _insert(self, words: list[bytes]) -> None:
+        if not words:
+            return
         size = np.array([len(w) for w in words])
         width = int(size.max())
         text = np.zeros((len(words), width), np.uint8)
@@ -97,19 +133,28 @@ class PretokenTrie:
         shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
         depth = np.arange(1, width + 1)
         new = (depth > shared[:, None]) & (depth <= size[:, None])
+        row, level = np.nonzero(new)
+        names = mix(total[row, level + 1] + (level + 1).astype(np.uint64))
+        found = self._find(names)
+        fresh = np.flatnonzero(found == 0)
+        found[fresh] = self._add(names[fresh])
         node = np.zeros((len(words), width + 1), np.int64)
-        node[:, 1:] = np.where(new, np.cumsum(new).reshape(new.shape), 0)
-        node = np.maximum.accumulate(node, axis=0)
-        score, pieces = np.zeros(node.max() + 1), np.zeros(node.max() + 1, np.int64)
+        node[row, level + 1] = found
+        # A prefix shared with the word above has that word's node.
+        above = np.maximum.accumulate(np.where(new, np.arange(len(words))[:, None], 0), axis=0)
+        node[:, 1:] = np.take_along_axis(node[:, 1:], above, axis=0)
+        score, pieces = self._score, self._pieces
+        order = fresh[np.argsort(level[fresh], kind="stable")]
+        cuts = np.searchsorted(level[order], np.arange(width + 1))
         for d in range(1, width + 1):
-            row = np.flatnonzero(new[:, d - 1])
-            last = text[row, d - 1]
-            best = score[node[row, d - 1]] + self._bytes[last]
-            n = pieces[node[row, d - 1]] + 1
-            longest = np.minimum(self._longest[text[row, d - 2].astype(np.int64) << 8 | last], d) if d > 1 else np.ones(len(row), np.int64)
+            row_ = row[order[cuts[d - 1] : cuts[d]]]
+            last = text[row_, d - 1]
+            best = score[node[row_, d - 1]] + self._bytes[last]
+            n = pieces[node[row_, d - 1]] + 1
+            longest = np.minimum(self._longest[text[row_, d - 2].astype(np.int64) << 8 | last], d) if d > 1 else np.ones(len(row_), np.int64)
             for size_ in range(2, int(longest.max(initial=1)) + 1):
                 at = np.flatnonzero(longest >= size_)
-                r = row[at]
+                r = row_[at]
                 name = mix((total[r, d] - total[r, d - size_]) * inverse[d - size_] + np.uint64(size_))
                 k = np.minimum(np.searchsorted(self._names, name), len(self._names) - 1)
                 hit = np.flatnonzero(self._names[k] == name)
@@ -118,14 +163,20 @@ class PretokenTrie:
                 s = score[from_] + self._logps[k]
                 up = s >= best[at]
                 best[at[up]], n[at[up]] = s[up], pieces[from_[up]] + 1
-            at = node[row, d]
+            at = node[row_, d]
             score[at], pieces[at] = best, n
-        self.nodes += len(score) - 1
         self.terminal.update(zip(words, pieces[node[np.arange(len(words)), size]].tolist()))
 
-    def _alone(self, text: bytes) -> int:
-        score, pieces, logp = [0.0], [0], self.vocabulary.get
-        for end in range(1, len(text) + 1):
+    def _insert_long(self, text: bytes) -> int:
+        """One pre-token, node by node, from the longest prefix that the trie has. Nodes beyond ``max_nodes`` are not kept."""
+        power, _ = _tables(len(text) + 1)
+        total = np.cumsum((np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * power[: len(text)])
+        names = mix(total + np.arange(1, len(text) + 1, dtype=np.uint64))
+        node = self._find(names)
+        have = int(np.argmin(np.append(node, 0) > 0))
+        room = max(0, min(len(text), have + self.max_nodes - self.size))
+        score, pieces, logp = [0.0, *self._score[node[:have]].tolist()], [0, *self._pieces[node[:have]].tolist()], self.vocabulary.get
+        for end in range(have + 1, len(text) + 1):
             best, n = score[-1] + logp(text[end - 1 : end], self.unknown), pieces[-1] + 1
             longest = int(self._longest[text[end - 2] << 8 | text[end - 1]]) if end > 1 else 1
             for start in range(end - 2, max(0, end - longest) - 1, -1):
@@ -134,6 +185,10 @@ class PretokenTrie:
                     best, n = score[start] + p, pieces[start] + 1
             score.append(best)
             pieces.append(n)
+        if room > have:
+            node = self._add(names[have:room])
+            self._score[node], self._pieces[node] = score[have + 1 : room + 1], pieces[have + 1 : room + 1]
+        self.nodes += len(text) - max(have, room)
         return pieces[-1]
 
 

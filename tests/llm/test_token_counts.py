@@ -31,9 +31,24 @@ def test_prefixes_are_scored_once():
     assert trie.nodes == 5
 
 
-def test_long_pretokens_are_not_held():
-    trie = PretokenTrie(WORDS)
-    assert trie.counts([b"ab" * 1000]) == [brute(b"ab" * 1000, WORDS, trie.unknown)] and trie.nodes == 0
+def test_nodes_are_the_distinct_prefixes_of_all_calls():
+    r, vocabulary = random.Random(8), load_vocabulary()
+    some = [b" " + bytes(r.choice(b"thea") for _ in range(r.randrange(1, 9))) for _ in range(3000)] + [b"ab" * 100, b"ab" * 50 + b"c" * 60, b"ab" * 20]
+    r.shuffle(some)
+    trie = PretokenTrie(vocabulary)
+    for k in range(0, len(some), 500):
+        part = some[k : k + 500]
+        assert trie.counts(part) == [brute(w, vocabulary, trie.unknown) for w in part]
+    assert trie.nodes == len({w[:k] for w in some for k in range(1, len(w) + 1)}) == trie.size - 1
+
+
+def test_long_pretokens_and_the_bound_on_nodes():
+    text, want = b"ab" * 1000, None
+    for bound in (10**6, 700):
+        trie = PretokenTrie(WORDS, max_nodes=bound)
+        want = want or brute(text, WORDS, trie.unknown)
+        assert trie.counts([text, b"ab"]) == [want, 1] and trie.nodes in (2000, 2002) and trie.size <= bound + 3
+        assert trie.counts([text + b"a", b"b" * 70]) == [brute(text + b"a", WORDS, trie.unknown), 70]
 
 
 def test_pretokens_cover_the_text():
@@ -51,3 +66,20 @@ def test_public_vocabulary_and_edge_rows(docs):
         cut = pretokens((r["text"] or "").encode())
         assert (r["n_bytes"], r["n_pretokens"], r["n_tokens"]) == (len((r["text"] or "").encode()), len(cut), sum(brute(w, vocabulary, trie.unknown) if len(w) < 50 else trie.counts([w])[0] for w in cut))
     assert len(got) == 6 and count_tokens(docs([])).collect() == []
+
+
+def test_query(spark):
+    from dagframe.llm.token_counts import op6_token_counts
+
+    folder = "/root/testdata/sf0.001"
+    got = op6_token_counts(spark, folder)
+    assert got.dtypes == [(c, "bigint") for c in ("doc_id", "n_bytes", "n_pretokens", "n_tokens")]
+    vocabulary, known = load_vocabulary(), {}
+    unknown = min(vocabulary.values()) - 10.0
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        cut = pretokens((r["text"] or "").encode())
+        for w in cut:
+            if w not in known:
+                known[w] = brute(w, vocabulary, unknown)
+        known[r["doc_id"], "all"] = (len((r["text"] or "").encode()), len(cut), sum(known[w] for w in cut))
+    assert all((r["n_bytes"], r["n_pretokens"], r["n_tokens"]) == known[r["doc_id"], "all"] for r in got.collect())
