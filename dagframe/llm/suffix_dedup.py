@@ -7,22 +7,29 @@ is the window's anchor, which depends on the window's bytes alone, so that equal
 anchors at equal offsets. Anchors whose bytes occur once in the corpus are dropped.
 
 The other anchors travel to shards as suffix tuples: the anchor's name, the bytes from it on, and the
-bytes before it that its windows reach. A shard may be far larger than memory: Spark sorts it on
-disk (spilled sorted runs, merged through a priority queue) by name and suffix, and it is read as a
-stream. Neighbours in that order give common-prefix values. All other suffixes of the windows are
-then induced from the sorted anchors, one byte to the left at a time: the order by (byte, rank of
-the suffix after it) refines the ranks, and the common-prefix values, which each step lengthens by
-one, tell which windows agree over their whole length. Names with very many different tuples are
-first split by halving the range of offsets (``_hot``), so that no task holds them all.
+bytes before it that its windows reach. A shard may be far larger than memory: it goes through a
+priority queue on disk (``SuffixQueue``: sorted runs in the shared folder, merged through a heap) that
+gives the tuples back by name and suffix, and neighbours in that order give common-prefix values. All
+other suffixes of the windows are then induced from the sorted anchors, one byte to the left at a
+time: the order by (byte, rank of the suffix after it) refines the ranks, and the common-prefix
+values, which each step lengthens by one, tell which windows agree over their whole length.
+
+Names with very many different tuples are taken apart before, by recursion (``_split``): windows that
+start at offsets between ``lo`` and ``hi`` before the anchor share the bytes of their core, which
+names them anew; the range is halved until no name has too many tuples for one task. The parts are
+sorted and induced as the others.
 """
 
 from __future__ import annotations
 
-import hashlib
+import heapq
+import uuid
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +40,10 @@ LENGTH = 200
 GRAM = 48
 #: Tuples of whole groups that are induced at once.
 BATCH = 20_000
-#: Names with more tuples than this are split.
-HOT = 5_000
+#: Names with more different tuples than this are split.
+HOT = 1_000
+#: Bytes of tuples that a queue holds in memory.
+QUEUE = 32 << 20
 _U = np.uint64
 
 
@@ -115,36 +124,111 @@ def induced_repeats(name: np.ndarray, low: np.ndarray, high: np.ndarray, tuples:
     return out
 
 
-def _hot(rows: DataFrame, scratch: Scratch, length: int, reach: int) -> DataFrame:
-    """``id, hash, begin, stop`` of repeated windows among tuples whose names are very frequent.
+class SuffixQueue:
+    """A priority queue of rows by ``(name, suffix)`` that holds at most about ``limit`` bytes in memory.
 
-    All windows with offsets in a node ``[lo, hi]`` share the bytes of the node's core, so rows whose
-    core occurs once are done; rows with equal bytes and offsets there repeat all their windows of the
-    node, and one of them stands for all. What lies between is halved and counted again, down to single
-    offsets. Counts are combined before the exchange, so equal rows never meet in one task.
+    ``push`` takes rows; beyond the limit they are written as a sorted run to ``folder``. ``pop`` gives all
+    rows back in order: a heap holds the least key of each run, and the run at its top gives its rows up
+    to the next run's key. Runs are read ``rows`` rows at a time and deleted behind.
     """
-    spans = "id", "hash", (F.col("anchor") - F.col("high")).alias("begin"), (F.col("anchor") - F.col("low") + length).alias("stop")
-    rows, out = rows.withColumns({"lo": F.lit(0), "hi": F.lit(reach)}), None
-    while not rows.isEmpty():
-        node, row = ["name", "lo", "hi", "core"], ["low", "high", "whole"]
-        keyed = rows.withColumns({
-            "core": F.xxhash64(F.expr(f"substring(bytes, high - lo + 1, {length} - hi + lo)")),
-            "whole": F.xxhash64("bytes"),
-        })
-        counted = keyed.groupBy(*node, *row).agg(F.sum("weight").alias("n"))
-        shared = counted.groupBy(*node).agg(F.sum("n").alias("n_core")).where("n_core > 1").drop("n_core")
-        state = scratch.keep(keyed.drop("weight").join(counted, [*node, *row]).join(shared, node))
-        full = state.where("n > 1").select(*spans)
-        out = full if out is None else out.union(full)
-        rest = state.where("lo < hi").groupBy(*node, *row).agg(F.max("n").alias("weight"), F.min(F.struct("id", "hash", "anchor", "bytes")).alias("r"))
-        rest = rest.select("name", "lo", "hi", "low", "high", "weight", "r.*").withColumn("mid", F.expr("cast((lo + hi) / 2 as int)"))
+
+    def __init__(self, folder: str, limit: int = QUEUE, rows: int = 1024):
+        self.folder, self.limit, self.rows = folder, limit, rows
+        self.held: list[pa.RecordBatch] = []
+        self.size = self.peak = 0
+        self.runs: list[str] = []
+        self._fs = None
+
+    def push(self, batch: pa.RecordBatch) -> None:
+        for k in range(0, batch.num_rows, self.rows):
+            part = batch.slice(k, self.rows)
+            self.held.append(part)
+            self.size += part.nbytes
+            self.peak = max(self.peak, self.size)
+            if self.size >= self.limit:
+                self._spill()
+
+    def _sorted(self) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(self.held).sort_by([("name", "ascending"), ("suffix", "ascending")])
+        self.held, self.size = [], 0
+        return table.to_batches(max_chunksize=self.rows)
+
+    def _spill(self) -> None:
+        if self._fs is None:
+            self._fs, self.folder = fs.FileSystem.from_uri(self.folder)
+            self._fs.create_dir(self.folder)
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        batches = self._sorted()
+        with self._fs.open_output_stream(path) as out, pa.ipc.new_file(out, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            for b in batches:
+                w.write_batch(b)
+        self.runs.append(path)
+
+    def _read(self, path: str) -> Iterator[pa.RecordBatch]:
+        with self._fs.open_input_file(path) as file:
+            reader = pa.ipc.open_file(file)
+            for k in range(reader.num_record_batches):
+                yield reader.get_batch(k)
+        self._fs.delete_file(path)
+
+    def pop(self) -> Iterator[pa.RecordBatch]:
+        sources = [self._read(path) for path in self.runs]
+        if self.held:
+            sources.append(iter(self._sorted()))
+        heads = [next(s) for s in sources]
+        key = lambda b, k: (b["name"][k].as_py(), b["suffix"][k].as_py())
+        heap = [(*key(b, 0), k) for k, b in enumerate(heads)]
+        heapq.heapify(heap)
+        out, size = [], 0
+        while heap:
+            *_, k = heapq.heappop(heap)
+            b = heads[k]
+            n = bisect_right(range(b.num_rows), heap[0][:2], key=lambda r: key(b, r)) if heap else b.num_rows
+            n = max(n, 1)
+            out.append(b.slice(0, n))
+            size += n
+            heads[k] = b.slice(n) if n < b.num_rows else next(sources[k], None)
+            if heads[k] is not None:
+                heapq.heappush(heap, (*key(heads[k], 0), k))
+            if size >= self.rows or not heap:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                out, size = [], 0
+        self.runs = []
+
+
+def _split(rows: DataFrame, scratch: Scratch, length: int, reach: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """``(parts, spans)``: tuples under finer names that have at most ``hot`` different ones each, and what is settled on the way.
+
+    Rows whose core occurs once are done. Rows with equal bytes and offsets repeat all of their windows
+    (``id, hash, begin, stop``), and one of them stands for all, with their number as its weight; counts are
+    combined before the exchange, so equal rows never meet in one task. At single offsets none are left.
+    """
+    columns = ["name", "low", "high", "weight", "id", "hash", "anchor", "bytes"]
+    rest, parts, spans = rows.select(*columns).withColumns({"lo": F.lit(0), "hi": F.lit(reach)}), None, None
+    while True:
+        rest = rest.withColumn("mid", F.expr("cast((lo + hi) / 2 as int)"))
         near = rest.where("low <= mid").selectExpr("name", "lo", "mid as hi", "low", "least(high, mid) as high", "weight", "id", "hash", "anchor", "substring(bytes, high - least(high, mid) + 1) as bytes")
         far = rest.where("high > mid").selectExpr("name", "mid + 1 as lo", "hi", "greatest(low, mid + 1) as low", "high", "weight", "id", "hash", "anchor", "substring(bytes, 1, length(bytes) - greatest(low, mid + 1) + low) as bytes")
-        rows = scratch.keep(near.union(far))
-    return out
-
-
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+        node, row = ["name", "lo", "hi"], ["low", "high", "whole", "whole_2"]
+        keyed = near.union(far).withColumns({
+            "name": F.xxhash64("name", "lo", "hi", F.expr(f"substring(bytes, high - lo + 1, {length} - hi + lo)")),
+            "whole": F.xxhash64("bytes"), "whole_2": F.xxhash64(F.lit("second"), "bytes"),
+        })
+        counted = keyed.groupBy(*node, *row).agg(F.sum("weight").alias("n"))
+        shared = counted.groupBy(*node).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different")).where("all > 1").drop("all")
+        state = scratch.keep(keyed.join(counted, [*node, *row]).join(shared, node))
+        full = state.where("n > weight").select("id", "hash", (F.col("anchor") - F.col("high")).alias("begin"), (F.col("anchor") - F.col("low") + length).alias("stop"))
+        spans = full if spans is None else spans.union(full)
+        one = state.groupBy(*node, *row).agg(F.max("n").alias("weight"), F.max("different").alias("different"), F.min(F.struct("id", "hash", "anchor", "bytes")).alias("r"))
+        one = scratch.keep(one.select(*node, "low", "high", "weight", "different", "r.*"))
+        small = one.where(f"different > 1 and different <= {hot}").select(*columns)
+        parts = small if parts is None else parts.union(small)
+        rest = one.where(f"different > {hot}").drop("different")
+        if rest.isEmpty():
+            return parts, spans
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, limit: int = QUEUE) -> DataFrame:
     """``id, hash, begin, stop``: byte ranges of ``docs(id, hash, text)`` that repeated windows cover; they may overlap."""
 
     def names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +255,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
                 seen: dict[tuple[int, bytes], int] = {}
                 times = np.ones(len(at), np.int64)
                 sent = np.ones(len(at), bool)
-                # Equal tuples of a chunk are one tuple with a weight; their windows are settled here.
+                # Equal tuples of a chunk are one tuple with a weight; all of their windows are repeated.
                 for k, pair in enumerate(zip(name.tolist(), data)):
                     j = seen.setdefault(pair, k)
                     if j != k:
@@ -188,6 +272,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
                     ["name", "low", "high", "weight", "id", "hash", "anchor", "bytes"],
                 )
 
+    folder = f"{scratch.root}/queue"
     schema = "name long, low int, high int, weight long, id long, hash long, anchor int, bytes binary"
     every = docs.select("id", "hash", "text").mapInArrow(tuples, schema)
 
@@ -198,7 +283,6 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
             t = pa.Table.from_batches(held).combine_chunks()
             name, low, high, anchor = (t[c].to_numpy() for c in ("name", "low", "high", "anchor"))
             mask = induced_repeats(name, low, high, t["bytes"].to_pylist(), length, gram)
-            mask |= (t["weight"].to_numpy() > 1)[:, None] & (np.arange(mask.shape[1]) >= low[:, None]) & (np.arange(mask.shape[1]) <= high[:, None])
             edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             row, least = np.nonzero(edge == 1)
             _, past = np.nonzero(edge == -1)
@@ -208,9 +292,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
                 ["id", "hash", "begin", "stop"],
             )
 
+        queue = SuffixQueue(folder, limit)
+        for b in batches:
+            queue.push(b)
         size = 0
-        for run in runs(batches, ["name"]):
-            if run.num_rows == 1 and run.column("weight")[0].as_py() == 1:
+        for run in runs(queue.pop(), ["name"]):
+            if run.num_rows == 1:
                 continue
             held.append(run)
             size += run.num_rows
@@ -221,20 +308,18 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
             yield settle(held)
 
     out = "id long, hash long, begin int, stop int"
-    frequent = scratch.keep(counts.where(F.col("n") > hot).select("name"))
-    at_once = every.where("bytes is null").select("id", "hash", (F.col("anchor") - F.col("high")).alias("begin"), (F.col("anchor") - F.col("low") + length).alias("stop"))
+    full = "id", "hash", (F.col("anchor") - F.col("high")).alias("begin"), (F.col("anchor") - F.col("low") + length).alias("stop")
+    spans = every.where("weight > 1").select(*full)
     sent = every.where("bytes is not null")
-    if frequent.isEmpty():
-        spread, more = sent, None
-    else:
-        spread = sent.join(frequent, "name", "left_anti")
-        more = _hot(scratch.keep(sent.join(frequent, "name").select(*sent.columns)), scratch, length, length - gram)
-    spread = spread.withColumn("suffix", F.expr("substring(bytes, high + 1)")).repartition("name").sortWithinPartitions("name", "suffix").drop("suffix")
-    spans = at_once.union(spread.mapInArrow(induced, out))
-    return spans if more is None else spans.union(more)
+    frequent = scratch.keep(counts.where(F.col("n") > hot).select("name"))
+    if not frequent.isEmpty():
+        parts, settled = _split(scratch.keep(sent.join(frequent, "name").select(*sent.columns)), scratch, length, length - gram, hot)
+        sent, spans = sent.join(frequent, "name", "left_anti").select(*sent.columns).union(parts), spans.union(settled)
+    queued = sent.withColumn("suffix", F.expr("substring(bytes, high + 1)")).repartition("name")
+    return spans.union(queued.mapInArrow(induced, out))
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, limit: int = QUEUE) -> DataFrame:
     """One row per input row: ``id, n_bytes, spans, kept_text`` (binary) with every byte of a repeated window removed.
 
     A window of ``length`` bytes is repeated if its bytes start at any other place, in the same text or
@@ -253,7 +338,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             both = pa.array([[{"begin": x, "stop": y} for x, y in s] for s in lists], pa.list_(pa.struct([("begin", pa.int32()), ("stop", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), both], ["id", "hash", "spans"])
 
-    found = repeated_spans(source, scratch, length, gram, hot)
+    found = repeated_spans(source, scratch, length, gram, hot, limit)
     lists = found.distinct().groupBy("id", "hash").agg(F.collect_list("begin").alias("begin"), F.collect_list("stop").alias("stop"))
     lists = scratch.keep(lists.mapInArrow(union, "id long, hash long, spans array<struct<begin:int,stop:int>>"))
     known = Membership(lists.select("hash"))
@@ -288,3 +373,23 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept_text")).cast("long").alias("n_removed"),
         F.size(spans).cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"),
     )
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT r, k, hash(substr(h, 2 * k + 1, 400)) AS m
+  FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS k FROM d)),
+t AS (SELECT r, k FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+g AS (SELECT r, k, sum(CASE WHEN k <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) AS island
+  FROM (SELECT r, k, lag(k) OVER (PARTITION BY r ORDER BY k) AS before FROM t)),
+s AS (SELECT r, min(k) AS begin, max(k) + 200 AS stop FROM g GROUP BY r, island),
+p AS (
+  SELECT r, begin, substr(h, 2 * after + 1, 2 * (begin - after)) AS piece
+  FROM (SELECT r, begin, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY begin), 0) AS after
+    FROM (SELECT r, begin, stop FROM s UNION ALL SELECT r, len(h) // 2, NULL FROM d)) JOIN d USING (r)),
+k AS (SELECT r, string_agg(piece, '' ORDER BY begin) AS h FROM p GROUP BY r)
+SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, (len(d.h) // 2 - len(k.h) // 2)::BIGINT AS n_removed,
+  (SELECT count(*) FROM s WHERE s.r = d.r)::BIGINT AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN k USING (r)
+"""
