@@ -1,18 +1,20 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set of word shingles is reduced to ``COORDS`` minwise tokens. Documents with the same
-set are one node of the join. Each of several independent trees branches the nodes recursively: at
-a tree node every member follows the same one or two coordinates, chosen by a hash of the path, into
-the child named by its token there, so that two sets of similarity s share a child with probability
-about s, and more than one child in expectation where s is at the threshold or above. A tree node of
-at most ``LEAF`` members is compared exhaustively on the tokens; pairs that may reach the threshold
-become candidates. A node that is still larger at the last level is one candidate group as a whole.
-The number of trees follows from the target recall.
-
-Candidate groups are then confirmed on the full sets, in blocks of at most ``BLOCK`` members: each
-block holds the group's pivots too, and the members that the group's largest class leaves out are
-compared with every block of the group. So no link between two classes is missed, and a group of
-copies costs time in proportion to its size.
+set (told by 128-bit hashes) are one member of the join. Each of several trees branches the members
+recursively: at a tree node every member follows the same one or two coordinates, chosen by a hash of
+the path, into the child named by its token there, so that two sets of similarity s share a child with
+probability about s, and more than one child in expectation where s is at the threshold or above.
+Recursion ends where a node has at most ``LEAF`` members. Such nodes are compared exhaustively: on the
+tokens first, and members with a partner in the node that may reach the threshold on their full sets.
+The first trees link most of what there is to link; the other trees look only for links between
+different components, so a member's full set moves at most once for each of its small nodes.
+
+Nodes that hardly get smaller from a level to the next (or are large at level ``DEPTH``) hold copies
+of like texts. They are confirmed in blocks of at most ``BLOCK`` members: each block holds the node's
+pivots too, and the members that the node's largest component leaves out are compared with every block
+of the node. So no link between two components is missed, and copies cost time in proportion to their
+number. The number of trees follows from the target recall.
 """
 
 from __future__ import annotations
@@ -29,8 +31,16 @@ from ._shared import Membership, Scratch, components, runs
 from ._words import SPACED, longs, mix, word_hashes
 
 COORDS = 64
-DEPTH = 4
+DEPTH = 10
+#: The chance of a second coordinate at a tree node.
+EXTRA = 0.5
 LEAF = 256
+#: A child with this share of its parent's members is not branched any more.
+DENSE = 0.9
+#: Trees that are confirmed first.
+FIRST = 2
+#: At most so many large nodes are broadcast as a list of keys.
+MAX_LARGE = 100_000
 BLOCK = 512
 PIVOTS = 16
 _U = np.uint64
@@ -52,9 +62,9 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def set_hash(s: np.ndarray) -> np.uint64:
-    """Names a set in 64 bits, whatever the order of its elements."""
-    return np.bitwise_xor.reduce(mix(s + _U(1)), initial=_U(0)) + _U(len(s))
+def set_hash(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Names a set in 128 bits, whatever the order of its elements."""
+    return np.bitwise_xor.reduce(mix(s + _U(1)), initial=_U(0)) + _U(len(s)), np.add.reduce(mix(s * _U(3) + _U(7)), initial=_U(0))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -66,7 +76,7 @@ def signature(s: np.ndarray) -> np.ndarray:
     return low.astype(np.uint32)
 
 
-def n_trees(threshold: float, recall: float, depth: int = DEPTH, extra: float = 0.25) -> int:
+def n_trees(threshold: float, recall: float, depth: int = DEPTH, extra: float = EXTRA) -> int:
     """Trees needed for a pair at the threshold to share a leaf at the last level with probability ``recall``.
 
     All trees draw from the same tokens, so the chance of a miss is averaged over how many of them agree.
@@ -83,10 +93,10 @@ def n_trees(threshold: float, recall: float, depth: int = DEPTH, extra: float =
 
 
 def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, child)``: each row's children in its tree node: one coordinate, and with probability 1/4 a second."""
+    """``(row, child)``: each row's children in its tree node: one coordinate, and with probability ``EXTRA`` a second."""
     one = mix(node ^ _U(0xA5A5A5A5)) % _U(COORDS)
     two = (one + _U(1) + mix(node ^ _U(0x5A5A5A5A)) % _U(COORDS - 1)) % _U(COORDS)
-    both = np.flatnonzero(mix(node ^ _U(0x3C3C3C3C)) % _U(4) == 0)
+    both = np.flatnonzero(mix(node ^ _U(0x3C3C3C3C)) % _U(1000) < _U(round(1000 * EXTRA)))
     rows = np.concatenate([np.arange(len(node)), both])
     coord = np.concatenate([one, two[both]]).astype(np.int64)
     return rows, mix(mix(node[rows] + _U(1)) * _U(3) + sig[rows, coord].astype(_U) * _A[coord] + coord.astype(_U))
@@ -148,152 +158,168 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 sets = [shingle_set(words[x:y], shingle) for x, y in zip(bounds[:-1], bounds[1:])]
                 n = np.array([len(s) for s in sets])
                 some = n > 0
-                node = np.array([set_hash(s) for s in sets], _U)
+                name = np.array([set_hash(s) for s in sets], _U).reshape(-1, 2).view(np.int64)
                 sig = [signature(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node.view(np.int64), mask=~some), pa.array(sig, pa.binary()), b.column(2).slice(lo, hi - lo)],
-                    ["id", "n", "node", "sig", "hash"],
+                    [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), *(pa.array(name[:, k].copy(), mask=~some) for k in (0, 1)), pa.array(sig, pa.binary()), b.column(2).slice(lo, hi - lo)],
+                    ["id", "n", "n1", "n2", "sig", "hash"],
                 )
 
-    rows = scratch.keep(source.mapInArrow(described, "id long, n long, node long, sig binary, hash long"))
-    nodes = scratch.keep(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies")))
+    name = ["n1", "n2"]
+    rows = scratch.keep(source.mapInArrow(described, "id long, n long, n1 long, n2 long, sig binary, hash long"))
+    nodes = rows.where("n1 is not null").groupBy(*name).agg(F.min("id").alias("low"), F.max("sig").alias("sig"))
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()))
+    tokens, total = nodes.select("node", "sig"), nodes.count()
 
-    # The trees: candidates (a, b) by node of the join.
+    # The trees, level by level: (key, tree, node), with the size of the node above.
     trees = n_trees(threshold, recall)
+    at_level = "key long, tree int, node long, up long"
 
     def roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            id, sig = b.column(0).to_numpy().view(_U), _matrix(b.column(1), np.uint32, COORDS)
+            node, sig = b.column(0), _matrix(b.column(1), np.uint32, COORDS)
             for t in range(trees):
-                r, child = _children(np.full(len(id), t, _U), sig)
-                yield pa.RecordBatch.from_arrays([longs(child), longs(id[r])], ["key", "node"])
+                r, child = _children(np.full(len(sig), t, _U), sig)
+                yield pa.RecordBatch.from_arrays([longs(child), pa.array(np.full(len(r), t, np.int32)), node.take(pa.array(r)), pa.array(np.full(len(r), total))], ["key", "tree", "node", "up"])
 
     def deeper(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                r, child = _children(b.column(0).to_numpy().view(_U), _matrix(b.column(2), np.uint32, COORDS))
-                yield pa.RecordBatch.from_arrays([longs(child), longs(b.column(1).to_numpy().view(_U)[r])], ["key", "node"])
+                r, child = _children(b.column("key").to_numpy().view(_U), _matrix(b.column("sig"), np.uint32, COORDS))
+                r = pa.array(r)
+                yield pa.RecordBatch.from_arrays([longs(child), *(b.column(c).take(r) for c in ("tree", "node", "m"))], ["key", "tree", "node", "up"])
 
-    tokens = nodes.select("node", "sig")
-    level, small, done = tokens.mapInArrow(roots, "key long, node long"), [], []
+    level, small, dense, done = tokens.mapInArrow(roots, at_level), [], [], []
     for depth in range(1, DEPTH + 1):
-        held = scratch.keep(level.distinct() if depth > 1 else level)
-        done.append(held)
-        sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        shared = scratch.keep(held.join(sizes, "key"))
-        done.append(shared)
-        small.append(shared.where(F.col("m") <= leaf).select("key", "node"))
-        large = shared.where(F.col("m") > leaf).select("key", "node")
-        if large.isEmpty():
-            large = None
+        held = scratch.keep(level)
+        sizes = scratch.keep(held.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("up").alias("up")).where("m > 1"))
+        done += [held, sizes]
+        big = sizes.where(F.col("m") > leaf).withColumn("dense", (F.col("m") >= DENSE * F.col("up")) | F.lit(depth == DEPTH)).drop("up")
+        n_big, n_dense = big.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("dense").cast("int")), F.lit(0))).first()
+        rest = held.drop("up")
+        if n_big:
+            # Keys of large nodes are dealt with by a broadcast list, so that no task gets all members of one.
+            listed = F.broadcast(big) if n_big <= MAX_LARGE else big
+            large = scratch.keep(rest.join(listed, "key"))
+            done.append(large)
+            rest = rest.join(listed.select("key"), "key", "left_anti")
+            if n_dense:
+                dense.append(large.where("dense").select(F.col("key").alias("grp"), "tree", "node", "m"))
+        small.append(rest.join(sizes.where(F.col("m") <= leaf).select("key"), "key", "left_semi"))
+        if n_big == n_dense:
             break
-        level = large.join(tokens, "node").select("key", "node", "sig").mapInArrow(deeper, "key long, node long")
+        level = large.where("not dense").join(tokens, "node").select("key", "tree", "node", "sig", "m").mapInArrow(deeper, at_level)
 
-    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def together(frames: list[DataFrame]) -> DataFrame | None:
+        out = None
+        for f in frames:
+            out = f if out is None else out.unionByName(f)
+        return out
+
+    def partners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of small nodes that have a partner of another label, told by tokens."""
         for run in runs(batches, ["key"]):
-            node, sig = run.column(1).to_numpy(), _matrix(run.column(2), np.uint32, COORDS)
-            if len(node) == 2:
-                i, j = ([0], [1]) if (sig[0] == sig[1]).sum() >= floor * COORDS else ([], [])
-            else:
-                union = _Union(len(node))
-                i, j = _similar(sig, floor)
-                links = [(x, y) for x, y in zip(i.tolist(), j.tolist()) if union.join(x, y)]
-                i, j = [x for x, _ in links], [y for _, y in links]
+            sig = _matrix(run.column("sig"), np.uint32, COORDS)
+            i, j = ([0], [1]) if len(sig) == 2 and (sig[0] == sig[1]).sum() >= floor * COORDS else _similar(sig, floor) if len(sig) > 2 else ([], [])
+            if len(i) and "label" in run.schema.names:
+                label = run.column("label").to_numpy()
+                apart = label[i] != label[j]
+                i, j = np.asarray(i)[apart], np.asarray(j)[apart]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
-
-    leaves = small[0]
-    for s in small[1:]:
-        leaves = leaves.union(s)
-    pairs = leaves.join(tokens, "node").select("key", "node", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(compared, "a long, b long")
-    if large is not None:
-        first = large.groupBy("key").agg(F.min("node").alias("b"))
-        pairs = pairs.union(large.join(first, "key").where("node <> b").select(F.col("node").alias("a"), "b"))
-    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+                who = pa.array(np.unique(np.concatenate([i, j])))
+                yield pa.RecordBatch.from_arrays([run.column(c).take(who) for c in ("key", "tree", "node")], ["key", "tree", "node"])
+
+    by_key = lambda t, *k: t.repartition(*k).sortWithinPartitions(*k)
+    leaves = by_key(together(small).join(tokens, "node"), "key").mapInArrow(partners, "key long, tree int, node long")
+    leaves = scratch.keep(leaves)
+    dense = scratch.keep(together(dense)) if dense else None
     scratch.drop(*done)
-    groups = scratch.keep(components(pairs, scratch).toDF("node", "grp"))
 
-    # Full sets of the members, one copy of each, in blocks.
-    known = Membership(groups.select("node"))
+    # Full sets of the members that may have a link, one copy of each.
+    may = leaves.select("node")
+    may = scratch.keep((may.union(dense.select("node")) if dense else may).distinct().join(nodes.select("node", *name), "node"))
+    known = Membership(may.select("n1"))
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, words, bounds in word_hashes(b.column(0), SPACED):
                 sets = [s for x, y in zip(bounds[:-1], bounds[1:]) if len(s := shingle_set(words[x:y], shingle))]
-                node = np.array([set_hash(s) for s in sets], _U).view(np.int64)
-                keep = np.flatnonzero(known.maybe(node))
-                keep = keep[np.sort(np.unique(node[keep], return_index=True)[1])]
+                both = np.array([set_hash(s) for s in sets], _U).reshape(-1, 2).view(np.int64)
+                keep = np.flatnonzero(known.maybe(both[:, 0].copy()))
+                keep = keep[np.sort(np.unique(both[keep], axis=0, return_index=True)[1])] if len(keep) else keep
                 for k in range(0, len(keep), 256):
                     part = keep[k : k + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array([signature(sets[i]).astype(np.uint8).tobytes() for i in part], pa.binary()), pa.array([sets[i].tobytes() for i in part], pa.binary())], ["node", "sig8", "shingles"])
-
-    sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "grp")
-    sets = source.select("text").mapInArrow(members, "node long, sig8 binary, shingles binary").join(sized, "node")
-    sets = sets.groupBy("node", "grp", "m").agg(F.first("sig8").alias("sig8"), F.first("shingles").alias("shingles"))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(both[part, c]) for c in (0, 1)), pa.array([signature(sets[i]).astype(np.uint8).tobytes() for i in part], pa.binary()), pa.array([sets[i].tobytes() for i in part], pa.binary())], [*name, "sig8", "shingles"])
+
+    sets = source.select("text").mapInArrow(members, "n1 long, n2 long, sig8 binary, shingles binary").join(may, name)
+    sets = scratch.keep(sets.groupBy("node").agg(F.first("sig8").alias("sig8"), F.first("shingles").alias("shingles")))
+
+    def confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links on full sets within each ``(grp, part)``, as many as connect what is linked; members of one ``label`` are connected already."""
+        for run in runs(batches, ["grp", "part"]):
+            node, at = np.unique(run.column("node").to_numpy(), return_index=True)
+            run = run.take(pa.array(at))
+            data = [np.frombuffer(s, _U) for s in run.column("shingles").to_pylist()]
+            union, found = _Union(len(node)), []
+            if "label" in run.schema.names:
+                _, first, inverse = np.unique(run.column("label").to_numpy(), return_index=True, return_inverse=True)
+                for x, k in enumerate(inverse.tolist()):
+                    union.join(int(first[k]), x)
+            i, j = _similar(_matrix(run.column("sig8"), np.uint8, COORDS), floor)
+            for x, y in zip(i.tolist(), j.tolist()):
+                if union.find(x) != union.find(y):
+                    p, q = data[x], data[y]
+                    if 10**6 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                        both = len(np.intersect1d(p, q, assume_unique=True))
+                        if 10**6 * both >= percent * (len(p) + len(q) - both):
+                            union.join(x, y)
+                            found.append((x, y))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(node[[x for x, _ in found]]), pa.array(node[[y for _, y in found]])], ["a", "b"])
+
+    def small_nodes(members: DataFrame, *label: str) -> DataFrame:
+        return members.select(F.col("key").alias("grp"), F.lit("").alias("part"), "node", *label).join(sets, "node")
+
+    cols = ["grp", "part", "node", "sig8", "shingles"]
+    work = small_nodes(leaves.where(F.col("tree") < FIRST)).select(cols)
     blocks = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    sets = scratch.keep(sets.withColumn("blk", own))
-    big = sized.where(F.col("m") > block)
-    pivots = big.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("node")))).where(F.col("_r") <= PIVOTS).select("node")
-
-    def confirmed(pairs_of):
-        def run_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for run in runs(batches, ["grp", "part"]):
-                node = run.column("node").to_numpy()
-                node, at = np.unique(node, return_index=True)
-                run = run.take(pa.array(at))
-                data = [np.frombuffer(s, _U) for s in run.column("shingles").to_pylist()]
-                union, found = _Union(len(node)), []
-                if "label" in run.schema.names:
-                    for x, y in pairs_of(run):
-                        union.join(x, y)
-                i, j = _similar(_matrix(run.column("sig8"), np.uint8, COORDS), floor)
-                for x, y in zip(i.tolist(), j.tolist()):
-                    if union.find(x) != union.find(y):
-                        p, q = data[x], data[y]
-                        if 10**6 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                            both = len(np.intersect1d(p, q, assume_unique=True))
-                            if 10**6 * both >= percent * (len(p) + len(q) - both):
-                                union.join(x, y)
-                                found.append((x, y))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(node[[x for x, _ in found]]), pa.array(node[[y for _, y in found]])], ["a", "b"])
-
-        return run_all
-
-    alone = sets.select("grp", F.col("blk").cast("string").alias("part"), "node", "sig8", "shingles")
-    copied = sets.where(F.col("m") > block).join(pivots, "node").withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1))).select("grp", F.col("part").cast("string").alias("part"), "node", "sig8", "shingles")
-    by_part = lambda t: t.repartition("grp", "part").sortWithinPartitions("grp", "part")
-    links = scratch.keep(by_part(alone.union(copied)).mapInArrow(confirmed(None), "a long, b long"))
+    if dense:
+        dense = dense.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        early = dense.where(F.col("tree") < FIRST)
+        pivots = early.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("node"), "node"))).where(F.col("_r") <= PIVOTS).drop("_r")
+        spread = early.select("grp", "blk", "node").union(pivots.select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"), "node"))
+        work = work.union(spread.join(sets, "node").withColumn("part", F.col("blk").cast("string")).select(cols))
+    links = scratch.keep(by_key(work, "grp", "part").mapInArrow(confirmed, "a long, b long"))
+    classes = scratch.keep(components(links, scratch).toDF("node", "root"))
+
+    # What the first trees left apart. Large nodes: members outside the node's largest component meet all of its blocks.
+    cols.append("label")
+    label = lambda t: t.join(classes, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    later = label(leaves.where(F.col("tree") >= FIRST))
+    apart = later.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    later = later.join(apart, "key").join(tokens, "node")
+    later = by_key(later, "key").mapInArrow(partners, "key long, tree int, node long")
+    work = small_nodes(label(later), "label").select(cols)
+    if dense:
+        labelled = label(dense)
+        per_label = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k"))
+        top = per_label.groupBy("grp").agg(F.max(F.struct("k", "label")).alias("top"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
+        top = top.select("grp", F.col("top.label").alias("top"), F.ceil(F.col("others") / block).cast("int").alias("rests"))
+        labelled = scratch.keep(labelled.join(top, "grp"))
+        every = labelled.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("grp", F.concat_ws("-", "mine", "blk").alias("part"), "node", "label")
+        mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("rests"))
+        others = labelled.where("label <> top").select("grp", "node", "label", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"))
+        met = every.union(others.select("grp", F.concat_ws("-", "mine", "blk").alias("part"), "node", "label"))
+        work = work.union(met.join(sets, "node").select(cols))
+    links = scratch.keep(links.union(by_key(work, "grp", "part").mapInArrow(confirmed, "a long, b long")))
     classes = scratch.keep(components(links, scratch).toDF("node", "root"))
+    scratch.drop(sets, leaves)
 
-    # Members of large groups outside the group's largest class meet all of its blocks.
-    labelled = big.select("grp", "node").join(classes, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    per_label = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = per_label.groupBy("grp").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("grp", F.col("top.label").alias("top"))
-    labelled = scratch.keep(labelled.join(main, "grp").withColumn("rest", F.col("label") != F.col("top")).drop("top"))
-    if not labelled.isEmpty():
-        held = sets.drop("grp").join(labelled, "node")
-        rest = labelled.where("rest").groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rests"))
-        held = held.join(rest, "grp")
-        cols = ["grp", "part", "node", "label", "sig8", "shingles"]
-        every = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("part", F.concat_ws("-", "part", "blk")).select(cols)
-        others = held.where("rest").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("rests"))).withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("part", F.concat_ws("-", "mine", "part")).select(cols)
-
-        def same_label(run):
-            _, first, inverse = np.unique(run.column("label").to_numpy(), return_index=True, return_inverse=True)
-            return ((int(first[k]), x) for x, k in enumerate(inverse.tolist()))
-
-        more = by_part(every.union(others)).mapInArrow(confirmed(same_label), "a long, b long")
-        links = scratch.keep(links.union(more))
-        classes = scratch.keep(components(links, scratch).toDF("node", "root"))
-    scratch.drop(sets, pairs)
-
-    named = nodes.join(classes, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    named = nodes.join(classes, "node", "left").select(*name, "low", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("node", "component_id", "root")
-    out = rows.select("id", "n", "node", "hash").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = named.join(lowest, "root").select(*name, "component_id", "root")
+    out = rows.select("id", "n", *name, "hash").join(named, name, "left")
+    component = F.when(F.col("n1").isNull(), F.col("id")).otherwise(F.col("component_id"))
     more = ["hash", "root"] if rows_named else []
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *more)
 
@@ -301,3 +327,20 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(ws[k:k + least(len(ws), 4) - 1], ' ') AS x
+  FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS k FROM w WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT r AS a, r AS b FROM n UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+m AS (SELECT c.a AS r, min(w.doc_id) AS low FROM c JOIN w ON w.r = c.b GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(low, doc_id) AS component_id, doc_id IS NOT DISTINCT FROM coalesce(low, doc_id) AS kept
+FROM w LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+"""

@@ -6,9 +6,9 @@ from .decontamination import OP8_SQL, op8_decontamination
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .lm_scoring import op7_lm_scoring
 from .mixing import op9_mixing
-from .near_dedup import op2_near_dedup
+from .near_dedup import OP2_SQL, op2_near_dedup
 from .sharding import op4_sharding
-from .suffix_dedup import op10_suffix_dedup
+from .suffix_dedup import OP10_SQL, op10_suffix_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op5_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
@@ -27,6 +27,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_url_filter": OP1_SQL,
+    "op2_near_dedup": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op8_decontamination": OP8_SQL,
+    "op10_suffix_dedup": OP10_SQL,
 }

@@ -98,3 +98,31 @@ def test_trees_reach_the_recall():
             pair, node = pair[rows][x == y], x[x == y]
         found[pair] = True
     assert (~found).mean() < 0.0016
+
+
+def test_members_that_share_much_and_link_nothing(docs, words):
+    """Pairs at a similarity of some 0.6 are candidates everywhere; no component of candidates is formed from them."""
+    base = words(77, 150, 10**6)
+    rows = [(k, base + " " + words(1000 + k, 40, 10**6)) for k in range(300)] + [(900, base + " " + words(1000, 40, 10**6) + " z")]
+    check(docs, rows, leaf=32, block=64)
+
+
+def test_recall_at_the_threshold(docs, words):
+    """Measured: pairs of similarity 0.80 to 0.82, each a component of its own, with the operator's own leaf."""
+    rows = []
+    for k in range(400):
+        w = words(k, 104, 10**6).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-11] + [f"z{k}x{j}" for j in range(10 + k % 2)]))]
+    got = {r["id"]: r["component_id"] for r in near_duplicates(docs(rows)).collect()}
+    want = {i: c for i, _, c, _ in brute(rows)}
+    linked = [i for i in want if i % 2 and want[i] != i]
+    assert len(linked) > 150 and sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    assert all(got[i] == want[i] for i in want if want[i] == i)
+
+
+def test_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = N.op2_near_dedup(spark, folder)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 4)
