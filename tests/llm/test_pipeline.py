@@ -45,3 +45,36 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, docs, words):
     assert got.columns == docs([]).columns
     want = [(1, one), (2, two), (5, three), (None, "alone here"), (7, ""), (7, ""), (8, None)]
     assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=repr) == sorted(want, key=repr)
+
+
+def folder_of(spark, path, rows):
+    """Tables of (doc_id, text) rows with more columns, labels and a benchmark."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot string, hash int, `odd name` array<int>"
+    full = [(i, t, "en" if k % 2 else "fr", "s", len(t or ""), k, "x", None, [None, k]) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(full, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows if i is not None], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([("q", "of " * 5), (None, None)], "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_nulls_repeats_long_texts_and_more_columns(spark, words, tmp_path):
+    rows = [(1, words(1, 50)), (1, words(1, 50)), (1, words(2, 50)), (None, words(3, 40)), (None, None), (4, None), (5, ""), (6, words(6, 30000, 9000)), (7, "x" * 20000), (8, "a  b\t")]
+    out = run(spark, folder_of(spark, tmp_path / "t", rows))
+    assert {"odd name", "lang", "shard", "slot"} <= set(out.columns)
+    got = out.collect()
+    assert {(r["doc_id"], r["text"]) for r in got} <= set(rows) and len({(r["shard"], r["slot"]) for r in got}) == len(got)
+    assert max(r["slot"] for r in got) <= len(got) // corpus_pipeline.N_SHARDS
+
+
+def test_empty_tables(spark, tmp_path):
+    assert run(spark, folder_of(spark, tmp_path / "t", [])).collect() == []
+
+
+def test_rows_that_mixing_repeats_are_not_neighbours(spark):
+    at = {}
+    for r in run(spark, "/root/testdata/sf0.01").select("doc_id", "shard", "slot").collect():
+        at.setdefault(r["doc_id"], []).append((r["shard"], r["slot"]))
+    again = [v for v in at.values() if len(v) > 1]
+    together = sum(len({s for s, _ in v}) == 1 for v in again)
+    near = sum(any((s, k + 1) in v for s, k in v) for v in again)
+    assert len(again) > 50 and together < 0.35 * len(again) and near < 0.1 * len(again)
