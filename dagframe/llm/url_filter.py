@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import Scratch
+
 #: Suffixes of two labels under which names are registered. A parameter of the operator.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "co.za", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr")
 
@@ -52,14 +54,27 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
+def site_of(host: Column) -> Column:
+    """The host without a user's name, a port and a dot at its end."""
+    return F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), r"\.?(:[0-9]*)?\z", "")
+
+
+def _address(site: Column) -> Column:
+    return site.rlike(r"^([0-9]+\.){3}[0-9]+\z|^\[")
+
+
 def suffix_of(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*two_label), two).otherwise(F.substring_index(host, ".", -1))
+    """What names are registered under; of an IP address, the address."""
+    site = site_of(host)
+    two = F.substring_index(site, ".", -2)
+    return F.when(_address(site), site).when(two.isin(*two_label), two).otherwise(F.substring_index(site, ".", -1))
 
 
 def domain_of(host: Column, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*two_label), F.substring_index(host, ".", -3)).otherwise(two)
+    """The registered name; of an IP address, the address."""
+    site = site_of(host)
+    two = F.substring_index(site, ".", -2)
+    return F.when(_address(site), site).when(two.isin(*two_label), F.substring_index(site, ".", -3)).otherwise(two)
 
 
 def rule_for(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
@@ -90,7 +105,7 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645, two
     rows count each. Without any outcome, all hosts get the flat prior's mean of one half and a bound of zero.
     """
     seen = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("b"))
-    seen = seen.withColumns({"domain": domain_of(F.col("host"), two_label), "suffix": suffix_of(F.col("host"), two_label)})
+    seen = Scratch(hosts.sparkSession, "urls").keep(seen.withColumns({"domain": domain_of(F.col("host"), two_label), "suffix": suffix_of(F.col("host"), two_label)}))
     n, b = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     overall, any_seen = (b + 1.0) / (n + 2.0), n > 0
 
@@ -121,7 +136,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] =
 
     ``outcomes(url, bad)``. The rule that fits decides; else the host's posterior bound. A null url,
     or one without ``://``, has an empty host and path: no rule fits it and its reputation is that of
-    the empty host. Columns of ``pages`` with those names are replaced; repeated rows are judged each.
+    the empty host. Reputations pass between hosts without their users' names and ports; an IP address is its own
+    domain. Columns of ``pages`` with those names are replaced; repeated rows are judged each.
     An empty table gives an empty result.
     """
     made = ["host", "path", "rule", "verdict", "n_labelled", "bad_rate", "bad_bound"]
@@ -141,15 +157,23 @@ def op1_url_filter(spark, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_labelled", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound"))
 
 
+_SITE = r"regexp_replace(regexp_replace(host, '(?s)^.*@', ''), '\.?(:[0-9]*)?\z', '')"
+_TWO = r"regexp_extract(site, '([^.]*\.)?[^.]*\z')"
+_LISTED = f"{_TWO} IN ({', '.join(repr(s) for s in TWO_LABEL_SUFFIXES)})"
+_IP = r"regexp_matches(site, '^([0-9]+\.){3}[0-9]+\z|^\[')"
 OP1_SQL = r"""
 WITH p AS (
   SELECT page_id, url,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
+o AS (
+  SELECT host, CASE WHEN {_IP} THEN site WHEN {_LISTED} THEN regexp_extract(site, '([^.]*\.)?[^.]*\.[^.]*\z') ELSE {_TWO} END AS domain,
+    CASE WHEN {_IP} THEN site WHEN {_LISTED} THEN {_TWO} ELSE regexp_extract(site, '[^.]*\z') END AS suffix
+  FROM (SELECT host, {_SITE} AS site FROM (SELECT DISTINCT host FROM p))),
 s AS (
-  SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(*) AS n, sum(1 - quality) AS b
-  FROM p JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY 1, 2, 3),
+  SELECT host, domain, suffix, count(*) AS n, sum(1 - quality) AS b
+  FROM p JOIN o USING (host) JOIN labels ON page_id = doc_id WHERE quality IS NOT NULL GROUP BY 1, 2, 3),
 g AS (SELECT (coalesce(sum(b), 0) + 1.0::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS overall FROM s),
 x1 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b, any_value(overall) AS mean FROM s, g GROUP BY 1),
 k1 AS (SELECT 1 / coalesce(least(0.5, greatest(0.001, sum((b - n * mean) ** 2 - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0))), 0.1) - 1 AS k FROM x1),
@@ -161,9 +185,8 @@ x3 AS (SELECT host, n::DOUBLE AS n, b::DOUBLE AS b, mean FROM s JOIN m2 USING (d
 k3 AS (SELECT 1 / coalesce(least(0.5, greatest(0.001, sum((b - n * mean) ** 2 - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0))), 0.1) - 1 AS k FROM x3),
 h AS (
   SELECT host, coalesce(n, 0) AS n, coalesce(b, 0) AS b, coalesce(m2.mean, m1.mean, overall) AS prior
-  FROM (SELECT DISTINCT host FROM p) q LEFT JOIN (SELECT host, n, b FROM s) USING (host)
-  LEFT JOIN m2 ON m2.domain = regexp_extract(q.host, '([^.]*\.)?[^.]*$')
-  LEFT JOIN m1 ON m1.suffix = regexp_extract(q.host, '[^.]*$'), g),
+  FROM o LEFT JOIN (SELECT host, n, b FROM s) USING (host)
+  LEFT JOIN m2 ON m2.domain = o.domain LEFT JOIN m1 ON m1.suffix = o.suffix, g),
 r AS (SELECT host, n, k, (b + k * prior) / (n + k) AS rate FROM h, k3),
 z AS (SELECT host, n, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) AS bound FROM r)
 SELECT page_id, host, path, rule,
@@ -179,3 +202,5 @@ FROM (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
   FROM p JOIN z USING (host))
 """
+for _name, _part in (("{_IP}", _IP), ("{_LISTED}", _LISTED), ("{_TWO}", _TWO), ("{_SITE}", _SITE)):
+    OP1_SQL = OP1_SQL.replace(_name, _part)

@@ -1,6 +1,9 @@
+import random
+
+import duckdb
 import pytest
 
-from dagframe.llm.url_filter import Rule, domain_of, filter_urls, host_reputation, suffix_of, url_host, url_path
+from dagframe.llm.url_filter import OP1_SQL, TWO_LABEL_SUFFIXES, Rule, domain_of, filter_urls, host_reputation, op1_url_filter, suffix_of, url_host, url_path
 from pyspark.sql import functions as F
 
 
@@ -13,6 +16,27 @@ def test_url_parts(spark):
 def test_domains(spark):
     df = spark.createDataFrame([("a.b.co.uk",), ("x.y.com",), ("com",), ("",)], "h string").select(domain_of(F.col("h")), suffix_of(F.col("h")))
     assert [tuple(r) for r in df.collect()] == [("b.co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("", "")]
+    odd = ["me:pw@a.b.co.uk:8080", "a.org:80", "10.0.0.1", "10.0.0.1:99", "[::1]:80", "x.y.com.", "10.0.0.256.com", "u@"]
+    df = spark.createDataFrame([(h,) for h in odd], "h string").select(domain_of(F.col("h")), suffix_of(F.col("h")))
+    assert [tuple(r) for r in df.collect()] == [("b.co.uk", "co.uk"), ("a.org", "org"), ("10.0.0.1",) * 2, ("10.0.0.1",) * 2, ("[::1]",) * 2, ("y.com", "com"), ("256.com", "com"), ("", "")]
+
+
+def test_query_against_sql(spark, tmp_path):
+    r = random.Random(6)
+    hosts = [f"h{k % 5}.d{k}.{s}" for k, s in enumerate([*TWO_LABEL_SUFFIXES, "com", "net", "org", "de"] * 2)]
+    hosts += ["co.uk", "d1.co.uk", "me@a.d1.co.uk:81", "10.0.0.1", "10.0.0.1:8", "[::1]", "x.org.", "", "www.example.com", "m.example.com"]
+    urls = [None if r.random() < 0.02 else f"http://{r.choice(hosts)}{r.choice(['', '/en/', '/es/x', '/fr/', '/a?b'])}" for _ in range(1500)]
+    urls += ["no scheme", "", "HTTP://A.B.Co.Uk/" + "x" * 100_000]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(k, None if r.random() < 0.05 else int(r.random() < 0.6), 0) for k in range(0, 1500, 2)] + [(4, 1, 0), (9999, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    c = duckdb.connect()
+    for t in ("pages", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = c.sql(OP1_SQL)
+    got = op1_url_filter(spark, str(tmp_path)).select(*want.columns)
+    near = lambda rows: sorted([tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows], key=repr)
+    assert near(got.collect()) == near(want.fetchall()) and {r['verdict'] for r in got.collect()} == {'allow', 'block'}
 
 
 def judged(spark, urls, outcomes=(), **options):
