@@ -42,11 +42,12 @@ class OrdinalModel:
         return _sigmoid(z[:, None] - self.cuts[None, :])
 
 
-def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, flags: int = 2 * BUCKETS, l2: float = 0.05, steps: int = 600, min_rows: int = 5, min_z: float = 4.0, thinned: int = 4) -> OrdinalModel:
+def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, flags: int = 2 * BUCKETS, l2: float = 0.05, steps: int = 600, min_rows: int = 5, min_z: float = 4.0, later_z: float = 4.0, thinned: int = 4) -> OrdinalModel:
     """Fits by gradient steps with per-coordinate scaling. ``features``: the distinct flags of each row.
 
-    Only flags that ``min_rows`` rows have, and whose share is higher above grade 0 than in it by
-    ``min_z`` standard errors, get a weight, and none below zero: evidence of toxicity only adds. Each row is used again ``thinned`` times with a fifth of
+    Only flags that ``min_rows`` rows have get a weight, and of them those whose share is higher above grade 0
+    than in it by ``min_z`` standard errors; these have no weight below zero, as evidence of toxicity only adds.
+    Flags whose share differs as much, either way, between rows above a further grade and in it get one of either sign. Each row is used again ``thinned`` times with a fifth of
     its flags, so that a few strong words suffice where training rows have many. Without rows, or with one grade only, nothing is learned:
     the weights are zero and all rows are given the grade of the most.
     """
@@ -54,21 +55,32 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, flags: int = 2 *
     share = np.array([(np.sum(grades > k) + 0.5) / (len(grades) + 1) for k in range(n_cuts)])
     cuts = np.log((1 - share) / share)
     weights = np.zeros(flags, np.float32)
-    high = grades > 0
-    if not high.any() or high.all():
+    if not (grades > 0).any() or (grades > 0).all():
         return OrdinalModel(weights, cuts)
-    n1, n0 = high.sum(), (~high).sum()
-    c1, c0 = np.zeros(flags), np.zeros(flags)
-    for f, h in zip(features, high):
-        (c1 if h else c0)[f] += 1
-    p = (c1 + c0) / len(grades)
-    z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((c1 + c0 >= min_rows) & (z >= min_z))
+    signed = np.zeros(flags, bool)
+    for k in range(n_cuts):
+        above, at = grades > k, grades == k
+        if above.any() and at.any():
+            c1, c0 = np.zeros(flags, np.float32), np.zeros(flags, np.float32)
+            for f, g in zip(features, grades):
+                if g >= k:
+                    (c1 if g > k else c0)[f] += 1
+            n1, n0 = above.sum(), at.sum()
+            p = (c1 + c0) / (n1 + n0)
+            z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+            z[c1 + c0 < min_rows] = 0
+            if k:
+                signed |= np.abs(z) >= later_z
+            else:
+                positive = z >= min_z
+            del c1, c0, p, z
+    chosen = np.flatnonzero(positive | signed)
+    least = np.where(signed[chosen] & ~positive[chosen], -np.inf, 0.0)
     place = np.full(flags, -1)
     place[chosen] = np.arange(len(chosen))
     kept = [place[f][place[f] >= 0] for f in features]
     rows, cols = np.repeat(np.arange(len(kept)), [len(k) for k in kept]), np.concatenate(kept)
-    del c1, c0, p, z, place
+    del place, positive, signed
     rng, n = np.random.default_rng(0), len(grades)
     parts = [(rows, cols)]
     for copy in range(1, thinned + 1):
@@ -90,7 +102,7 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, flags: int = 2 *
         gw = np.bincount(cols, d[rows], minlength=len(w)) - l2 * w
         scale_w += gw**2
         scale_c += dc**2
-        w = np.maximum(w + 0.5 * gw / np.sqrt(scale_w), 0)
+        w = np.maximum(w + 0.5 * gw / np.sqrt(scale_w), least)
         cuts = np.maximum.accumulate(cuts + 0.3 * dc / np.sqrt(scale_c))
     weights[chosen] = w
     return OrdinalModel(weights, cuts)
@@ -139,9 +151,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
     return fit_ordinal([np.frombuffer(f, np.int32) for f in kept], np.array(list(kept.values()), np.int64))
 
 
-def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshold: float = 0.25) -> DataFrame:
-    """``docs`` with ``severity`` (the expected grade), ``p_toxic`` (P(grade > 0)), ``grade`` (the likeliest), ``toxic``.
+def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with ``severity`` (the expected grade), ``p_toxic`` (P(grade > 0)), ``grade``, ``toxic`` (``grade`` is over 0).
 
+    ``grade``: of the cuts whose P(grade > k) is ``threshold`` or more, the number.
     Null and empty texts have no features: the model's intercepts alone decide. Repeated rows are
     scored each; columns with the results' names are replaced; an empty table gives an empty result.
     """
@@ -158,10 +171,10 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
                 row, flag = _flags(row[at], bucket[at], half)
                 z[lo:hi] = np.bincount(row, model.weights[flag], minlength=hi - lo)
             above = model.above(z)
-            grades = -np.diff(np.hstack([np.ones((len(z), 1)), above, np.zeros((len(z), 1))]), axis=1)
+            grades = (above >= threshold).sum(axis=1)
             cols = [b.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(above.sum(axis=1)), pa.array(above[:, 0].copy()), pa.array(grades.argmax(axis=1), pa.int32()), pa.array(above[:, 0] >= threshold)],
+                [*cols, pa.array(above.sum(axis=1)), pa.array(above[:, 0].copy()), pa.array(grades, pa.int32()), pa.array(grades > 0)],
                 [*(f.name for f in fields), "severity", "p_toxic", "grade", "toxic"],
             )
 
@@ -170,8 +183,8 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
 
 
 def graded_labels(labels: DataFrame) -> DataFrame:
-    """The table's two flags as ordered grades: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).alias("grade"))
+    """The table has two flags and no severity. Taken as ordered: 0 not toxic, 1 toxic in text of low quality, 2 toxic in readable text."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 1).otherwise(2)).alias("grade"))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
