@@ -30,9 +30,10 @@ def main(args: list[str] | None = None) -> int:
     plan = json.loads(Path(a.plan).read_text())
     try:
         if a.explain:
-            for id, df in engine.execute(plan).items():
+            low = engine.lower(plan)
+            for id in low.flow.sinks():
                 print(id)
-                df.explain("formatted")
+                low.frames[id].explain("formatted")
         elif a.out:
             engine.download(plan, a.out, a.format)
         else:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import copy
 import uuid
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -14,6 +16,9 @@ from .plans.rewrite import fuse_group_bys
 from .plans.workflow import PlanError, Workflow
 from .sources.tables import read_table
 
+#: Rows of a page of results, which the driver holds.
+RESULT_ROWS = 10_000
+
 
 class Engine:
     """Runs workflows on a session. ``tables``: names to paths or DataFrames; other names are paths or catalog tables."""
@@ -43,14 +48,21 @@ class Engine:
     def sentiment(self, text: Column) -> Column:
         return self._sentiment(text)
 
+    def defer(self, write: Callable[[], None]) -> None:
+        """What a materialiser does once its plan runs; lowering a plan writes nothing."""
+        self._writes.append(write)
+
     # Plans
 
-    def lower(self, plan: Workflow | dict | str, checkpoint: bool = False, observe: bool = False, fuse: bool = True) -> Lowered:
-        """All operators of a plan as DataFrames. Catalyst optimises what a sink needs; nothing runs yet but materialisers.
+    def lower(self, plan: Workflow | dict | str, checkpoint: bool = False, observe: bool = False, fuse: bool = True, step: Callable[[str], None] | None = None) -> Lowered:
+        """All operators of a plan as DataFrames. Catalyst optimises what a sink needs; nothing runs or is written yet.
 
         ``checkpoint``: the inputs of joins and global group-bys are written to the work folder and read
-        back. ``observe``: each operator counts its rows as they pass.
+        back, which runs them; ``step`` is called with the id of the operator put out before each is written.
+        ``observe``: each operator counts its rows as they pass.
         """
+        session = copy.copy(self)
+        session._writes = []
         flow = (plan if isinstance(plan, Workflow) else Workflow.from_plan(plan)).validate()
         fused = fuse_group_bys(flow) if fuse else flow
         frames: dict[str, DataFrame] = {}
@@ -59,16 +71,19 @@ class Engine:
             node, spec = fused.nodes[id], REGISTRY[fused.nodes[id].type]
             inputs = [self._united(id, [frames[o] for o in origins]) for origins in fused.inputs(id)]
             if checkpoint and spec.blocking:
-                inputs = [self._written(df) for df in inputs]
+                for k, origins in enumerate(fused.inputs(id)):
+                    for o in origins if step else ():
+                        step(o)
+                    inputs[k] = self._written(inputs[k])
             try:
-                df = spec.lower(self, inputs, node.properties)
+                df = spec.lower(session, inputs, node.properties)
             except (KeyError, ValueError, TypeError) as e:
                 raise PlanError(f"{id} ({node.type}): {e.args[0] if e.args else e}") from e
             if observe:
                 counts[id] = Observation()
                 df = df.observe(counts[id], F.count(F.lit(1)).alias("rows"))
             frames[id] = df
-        return Lowered(fused, frames, counts)
+        return Lowered(fused, frames, counts, session._writes)
 
     def _united(self, id: str, frames: list[DataFrame]) -> DataFrame:
         """Several links into one port are the union of their rows, by position."""
@@ -85,21 +100,30 @@ class Engine:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def execute(self, plan: Workflow | dict | str, **options) -> dict[str, DataFrame]:
-        """The sinks' DataFrames by operator id."""
+        """The sinks' DataFrames by operator id. Materialisers write now."""
         low = self.lower(plan, **options)
+        low.write()
         return {id: low.frames[id] for id in low.flow.sinks()}
 
-    def result(self, plan: Workflow | dict | str) -> dict:
-        """``{code, result, resultID}`` with rows of all sinks as strings by place; an error has code 1 and a message."""
+    def result(self, plan: Workflow | dict | str, offset: int = 0, limit: int = RESULT_ROWS) -> dict:
+        """``{code, result, resultID, more}``: a page of the sinks' rows, as strings by place; an error has code 1 and a message.
+
+        ``more`` tells whether rows follow the page. Whole results go to files by ``download``.
+        """
         try:
-            rows = []
-            for df in self.execute(plan).values():
-                for r in df.select(*(F.col(f"`{c}`").cast("string").alias(f"_c{k}") for k, c in enumerate(df.columns))).toLocalIterator():
-                    rows.append({k: "" if v is None else v for k, v in r.asDict().items()})
-            return {"code": 0, "result": rows, "resultID": uuid.uuid4().hex}
+            return self.envelope(self.execute(plan).values(), offset, limit)
         except PlanError as e:
             return {"code": 1, "message": str(e)}
 
+    @staticmethod
+    def envelope(sinks: Iterable[DataFrame], offset: int = 0, limit: int = RESULT_ROWS) -> dict:
+        rows: list[dict] = []
+        for df in sinks:
+            page = df.select(*(F.col("`" + c.replace("`", "``") + "`").cast("string").alias(f"_c{k}") for k, c in enumerate(df.columns)))
+            got = page.limit(offset + limit + 1 - len(rows)).toLocalIterator()
+            rows += [{k: "" if v is None else v for k, v in r.asDict().items()} for r in got]
+        return {"code": 0, "result": rows[offset : offset + limit], "resultID": uuid.uuid4().hex, "more": len(rows) > offset + limit}
+
     def download(self, plan: Workflow | dict | str, path: str, kind: str = "csv") -> None:
         """Writes the only sink's rows as csv, json or parquet."""
         sinks = self.execute(plan)
@@ -133,14 +157,24 @@ class Engine:
         return {"operators": [s.metadata() for s in shown], "groups": sorted({s.group for s in shown})}
 
     def table_metadata(self) -> list[dict]:
+        """Registered tables, those of the catalog and the parquet tables of the engine's folder."""
         names = {n: self.table(n) for n in self.tables}
         names |= {t.name: self.spark.table(t.name) for t in self.spark.catalog.listTables()}
-        return [{"tableName": n, "schema": {"attributes": [{"attributeName": f.name, "attributeType": f.dataType.simpleString()} for f in df.schema]}} for n, df in names.items()]
+        if self.folder:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            for status in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+                name, _, kind = status.getPath().getName().rpartition(".")
+                if kind == "parquet" and name not in names:
+                    names[name] = self.table(name)
+        return [{"tableName": n, "schema": {"attributes": [{"attributeName": f.name, "attributeType": f.dataType.simpleString()} for f in df.schema]}} for n, df in sorted(names.items())]
 
 
 class Lowered:
-    """DataFrames of a plan's operators, and the counts that observed ones collect when they run."""
+    """DataFrames of a plan's operators, the counts that observed ones collect when they run, and what materialisers have to write."""
 
-    def __init__(self, flow: Workflow, frames: dict[str, DataFrame], counts: dict[str, Observation]):
-        self.flow, self.frames, self.counts = flow, frames, counts
+    def __init__(self, flow: Workflow, frames: dict[str, DataFrame], counts: dict[str, Observation], writes: list[Callable[[], None]]):
+        self.flow, self.frames, self.counts, self.writes = flow, frames, counts, writes
 
+    def write(self) -> None:
+        while self.writes:
+            self.writes.pop(0)()

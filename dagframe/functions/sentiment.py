@@ -12,8 +12,9 @@ NEGATIVE = ("bad", "terrible", "awful", "hate", "sad", "worst", "horrible", "tra
 
 def score(text: Column, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> Column:
     """Positive less negative words, whole and in any case; null text has none."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+")
-    return (F.size(F.filter(words, lambda w: w.isin(*positive))) - F.size(F.filter(words, lambda w: w.isin(*negative)))).cast("double")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    count = lambda words: F.regexp_count(low, F.lit(f"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"))
+    return (count(positive) - count(negative)).cast("double")
 
 
 def label(text: Column, positive: tuple[str, ...] = POSITIVE, negative: tuple[str, ...] = NEGATIVE) -> Column:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import column, resolve
+from ..functions.columns import Name, column, resolve
 from .registry import register_operator
 
 _TEXT = {"type": "string"}
@@ -66,7 +66,7 @@ def bucket_scan(session, inputs, p):
 @register_operator("LocalMaterializer", title="Materialise", about="Writes its input to a shared folder and emits no rows.", group="Storage", properties={"fileName": _TEXT}, required=("fileName",))
 def materialise(session, inputs, p):
     (df,) = inputs
-    df.write.mode("overwrite").parquet(p["fileName"])
+    session.defer(lambda: df.write.mode("overwrite").parquet(p["fileName"]))
     return df.limit(0)
 
 
@@ -75,7 +75,11 @@ def hash_materialise(session, inputs, p):
     (df,) = inputs
     n = int(p.get("numBuckets") or 8)
     bucket = F.pmod(F.hash(column(df, p["attributeName"])), F.lit(n))
-    df.withColumn("bucket", bucket).repartition(n, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(p["fileName"])
+    tasks = max(n, int(session.spark.conf.get("spark.sql.shuffle.partitions")))
+    # A bucket is dealt to several tasks by its rows, so that neither few buckets nor a hot key bind the run to few of them.
+    salt = F.pmod(F.xxhash64(*(column(df, Name(c)) for c in df.columns)), F.lit(-(-tasks // n)))
+    dealt = df.withColumn("bucket", bucket).repartition(tasks, "bucket", salt)
+    session.defer(lambda: dealt.write.mode("overwrite").partitionBy("bucket").parquet(p["fileName"]))
     return df.limit(0)
 
 

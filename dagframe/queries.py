@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions.sentiment import NEGATIVE, POSITIVE
 from .plans import Workflow, samples
+from .streaming.control import StreamRun
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,9 +51,18 @@ def _where(name: str, kind: str, how: str, value) -> tuple[str, dict]:
     return "Comparison", {"attributeName": name, "attributeType": kind, "comparisonType": how, "compareTo": value}
 
 
-def _ranked(*keys: str) -> Callable[[DataFrame], DataFrame]:
-    """Shows the order of a sorted result: comparisons of results ignore row order."""
-    return lambda df: df.withColumn("rank", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+def _numbered(df: DataFrame) -> DataFrame:
+    """Numbers rows in the order in which the engine puts them out, so that a comparison of results proves it.
+
+    Ids rise from row to row and partition to partition; the offsets of the partitions make them numbers.
+    The rows are kept, as ids of another evaluation may be others.
+    """
+    at = df.withColumn("_at", F.monotonically_increasing_id()).persist()
+    part = F.shiftrightunsigned("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = at.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn("rank", (F.col("_at") - F.shiftleft("_part", 33) + F.col("_before") + 1).cast("long")).drop("_at", "_part", "_before")
 
 
 _query("scan_project", "SELECT o_orderkey, o_custkey FROM orders")(lambda: _flow(_scan("orders"), _project("o_orderkey", "_c1")))
@@ -103,10 +115,10 @@ _query("having_filter", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1
 )
 
 for _kind, _key in [("int", "o_custkey"), ("double", "o_totalprice"), ("date", "o_orderdate"), ("string", "o_orderpriority")]:
-    _query(f"sort_{_kind}", f"SELECT o_orderkey, row_number() OVER (ORDER BY {_key}, o_orderkey) AS rank FROM orders", after=lambda df, k=_key: _ranked(k, "o_orderkey")(df).select("o_orderkey", "rank"))(
+    _query(f"sort_{_kind}", f"SELECT {_key}, row_number() OVER (ORDER BY {_key}) AS rank FROM orders", after=lambda df, k=_key: _numbered(df).select(k, "rank"))(
         lambda k=_key, t=_kind: _flow(_scan("orders"), ("InsertionSort", {"attributeName": k, "attributeType": t}), _project("o_orderkey", k))
     )
-_query("sort_text_of_number", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_quantity::VARCHAR, l_orderkey, l_linenumber) AS rank FROM lineitem", after=lambda df: df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("l_quantity").cast("string"), "l_orderkey", "l_linenumber")).cast("long")).drop("l_quantity"))(
+_query("sort_text_of_number", "SELECT q, row_number() OVER (ORDER BY q) AS rank FROM (SELECT l_quantity::VARCHAR AS q FROM lineitem)", after=lambda df: _numbered(df).select(F.col("l_quantity").cast("string").alias("q"), "rank"))(
     lambda: _flow(_scan("lineitem"), ("InsertionSort", {"attributeName": "l_quantity", "attributeType": "string"}), _project("l_orderkey", "l_linenumber", "l_quantity"))
 )
 
@@ -126,8 +138,8 @@ _query("ripple_join", "SELECT customer.*, o_orderkey, o_orderstatus, o_totalpric
 _query("cross_join_keyed", "SELECT * FROM region JOIN nation ON r_regionkey = n_regionkey")(lambda: _join("CrossRippleJoin", "region", "nation", innerTableAttribute="r_regionkey", outerTableAttribute="n_regionkey"))
 _query("cross_join", "SELECT * FROM region CROSS JOIN nation")(lambda: _join("CrossRippleJoin", "region", "nation"))
 _query("order_count_distribution", "SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) GROUP BY 1", ["n", "customers"])(samples.order_count_distribution)
-_query("quantity_sorted", "SELECT q, row_number() OVER (ORDER BY q) AS rank FROM (SELECT l_quantity::VARCHAR AS q FROM lineitem)", after=lambda df: _ranked("q")(df.select(F.col("l_quantity").cast("string").alias("q"))))(samples.sorted_quantities)
-_query("pricing_summary", "SELECT l_returnflag, sum(l_quantity) AS total, row_number() OVER (ORDER BY l_returnflag) AS rank FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1", ["l_returnflag", "total"], _ranked("l_returnflag"))(samples.quantity_by_flag)
+_query("quantity_sorted", "SELECT q, row_number() OVER (ORDER BY q) AS rank FROM (SELECT l_quantity::VARCHAR AS q FROM lineitem)", after=lambda df: _numbered(df.select(F.col("l_quantity").cast("string").alias("q"))))(samples.sorted_quantities)
+_query("pricing_summary", "SELECT l_returnflag, sum(l_quantity) AS total, row_number() OVER (ORDER BY l_returnflag) AS rank FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1", ["l_returnflag", "total"], _numbered)(samples.quantity_by_flag)
 
 
 @_query("fan_in_union", "SELECT count(*) AS count FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")
@@ -176,21 +188,141 @@ _query(
 )(lambda: _flow(_scan("documents"), ("NlpSentiment", {"attribute": "text", "resultAttribute": "feeling"}), _project("doc_id", "feeling")))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; of this machine only where Spark runs on it alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        root = "file://" + tempfile.mkdtemp()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _registered(name: str, sql: str):
+    def add(query: Query) -> Query:
+        QUERIES[name], ORACLES[name] = query, sql
+        return query
+
+    return add
+
+
+@_registered("materialize_rescan", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey > 10")
 def materialize_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes buckets by a key with one workflow and reads them back with another."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path = f"{root.rstrip('/')}/buckets-{uuid.uuid4().hex}"
-    engine = Engine.over(spark, sf_dir)
+    path, engine = _scratch(spark, "buckets"), Engine.over(spark, sf_dir)
     engine.execute(_flow(_scan("orders"), _project("o_orderkey", "o_custkey"), ("HashBasedMaterializer", {"fileName": path, "attributeName": "o_custkey", "numBuckets": 4})))
     (df,) = engine.execute(_flow(("HashBasedFolderScan", {"fileName": path}), _where("o_custkey", "int", ">", 10))).values()
     return df
 
 
-QUERIES["materialize_rescan"] = materialize_rescan
-ORACLES["materialize_rescan"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey > 10"
+@_registered("materialize_local", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 3")
+def materialize_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a table with one workflow and reads it back with another."""
+    path, engine = _scratch(spark, "table"), Engine.over(spark, sf_dir)
+    engine.execute(_flow(_scan("nation"), _project("n_nationkey", "n_name"), ("LocalMaterializer", {"fileName": path})))
+    (df,) = engine.execute(_flow(("LocalScanSource", {"fileName": path}), _where("n_nationkey", "int", ">=", 3))).values()
+    return df
+
+
+def _text_of(spark: SparkSession, sf_dir: str, kind: str, *values: Column) -> str:
+    """Orders as lines of text fields, for the text source."""
+    path = f"{_scratch(spark, 'text')}.{kind}"
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat_ws({"tbl": "|", "csv": ","}[kind], *values)).write.text(path)
+    return path
+
+
+@_registered("scan_tbl", "SELECT o_orderkey::VARCHAR AS key, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'F'")
+def scan_tbl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bar-delimited text whose lines end in a bar; an empty field in the middle."""
+    path = _text_of(spark, sf_dir, "tbl", F.col("o_orderkey").cast("string"), F.lit(""), F.col("o_orderstatus"), F.col("o_orderpriority"), F.lit(""))
+    (df,) = Engine(spark).execute(_flow(("ScanSource", {"tableName": path}), _where("_c2", "string", "=", "F"), _project("_c0", "_c3"))).values()
+    return df.toDF("key", "priority")
+
+
+@_registered("scan_csv_columns", "SELECT o_orderpriority AS priority, o_orderkey::VARCHAR AS key FROM orders")
+def scan_csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma-delimited text of which two fields are read, in another order."""
+    path = _text_of(spark, sf_dir, "csv", F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority"))
+    (df,) = Engine(spark).execute(_flow(("ScanSource", {"tableName": path, "columns": [2, 0]}))).values()
+    return df.toDF("priority", "key")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> str:
+    """Text in which the number of every third order is no number."""
+    number = F.when(F.col("o_orderkey") % 3 == 0, F.lit("n/a")).otherwise(F.col("o_custkey").cast("string"))
+    return _text_of(spark, sf_dir, "tbl", F.col("o_orderkey").cast("string"), number, F.col("o_orderstatus"))
+
+
+@_registered("filter_text_numbers", "SELECT o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey % 3 <> 0 AND o_custkey > 50")
+def filter_text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings are parsed for a comparison of numbers; what does not parse is dropped."""
+    (df,) = Engine(spark).execute(_flow(("ScanSource", {"tableName": _mixed(spark, sf_dir)}), _where("_c1", "int", ">", "50"), _project("_c0"))).values()
+    return df.toDF("key")
+
+
+@_registered("sort_text_numbers", "SELECT number, row_number() OVER (ORDER BY TRY_CAST(number AS INT) NULLS LAST) AS rank FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE o_custkey::VARCHAR END AS number FROM orders)")
+def sort_text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings are sorted as numbers; what does not parse comes last."""
+    (df,) = Engine(spark).execute(_flow(("ScanSource", {"tableName": _mixed(spark, sf_dir)}), ("InsertionSort", {"attributeName": "_c1", "attributeType": "int"}), _project("_c1"))).values()
+    return _numbered(df.toDF("number"))
+
+
+@_registered("groupby_text_numbers", "SELECT o_orderstatus AS status, sum(CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END)::DOUBLE AS total FROM orders GROUP BY 1")
+def groupby_text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings are summed as numbers; what does not parse is left out."""
+    group = {"groupByAttribute": "_c2", "aggregationAttribute": "_c1", "aggregationFunction": "sum"}
+    (df,) = Engine(spark).execute(_flow(("ScanSource", {"tableName": _mixed(spark, sf_dir)}), ("GroupBy", group), ("GroupByFinal", {"aggregationFunction": "sum"}))).values()
+    return df.toDF("status", "total")
+
+
+@_registered("file_source", "SELECT 1::BIGINT AS files, sum(len(r_name) + 1)::BIGINT AS length FROM region")
+def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole file as one row."""
+    path = _scratch(spark, "file")
+    spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name").coalesce(1).write.text(path)
+    (df,) = Engine(spark).execute(_flow(("FileSource", {"fileName": path}))).values()
+    return df.agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).cast("long").alias("length"))
+
+
+@_registered("several_sinks", "SELECT 'F' AS sink, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'O', count(*) FROM orders WHERE o_orderstatus = 'O'")
+def several_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan with two sinks."""
+    w = _flow(_scan("orders"))
+    for s in "FO":
+        w.add("Comparison", s, attributeName="o_orderstatus", attributeType="string", comparisonType="=", compareTo=s)
+        w.add("Aggregation", f"count {s}")
+        w.chain("ScanSource-0", s, f"count {s}")
+    got = Engine.over(spark, sf_dir).execute(w)
+    a, b = (got[f"count {s}"].select(F.lit(s).alias("sink"), F.col("count").alias("n")) for s in "FO")
+    return a.union(b)
+
+
+@_registered("keyword_spans", "SELECT c_custkey, strpos(c_mktsegment, 'U') - 1 AS at FROM customer WHERE contains(c_mktsegment, 'U')")
+def keyword_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a keyword stands."""
+    (df,) = Engine.over(spark, sf_dir).execute(_flow(("KeywordSource", {"tableName": "customer", "query": "U", "attributes": ["c_mktsegment"], "spanListName": "spans"}))).values()
+    return df.select("c_custkey", F.col("spans")[0]["start"].cast("long").alias("at"))
+
+
+@_registered("checkpoint_join", ORACLES["three_way_join_agg"])
+def checkpoint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inputs of joins and global group-bys go through written tables."""
+    (df,) = Engine.over(spark, sf_dir, work_dir=_scratch(spark, "steps")).execute(_three_way(), checkpoint=True).values()
+    return df.toDF("r_name", "customers")
+
+
+@_registered("stream_groupby", "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_custkey > 10 GROUP BY 1")
+def stream_groupby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of files that is filtered as it comes; the group-by runs over what was delivered."""
+    path = _scratch(spark, "stream")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(3).write.parquet(f"{path}/in.parquet")
+    w = Workflow()
+    w.add("ScanSource", "scan", tableName=f"{path}/in.parquet")
+    w.add("Comparison", "some", attributeName="o_custkey", attributeType="int", comparisonType=">", compareTo=10)
+    w.add("GroupBy", "local", groupByAttribute="o_orderstatus", aggregationAttribute="o_orderkey", aggregationFunction="count")
+    w.add("GroupByFinal", "global", aggregationFunction="count")
+    w.chain("scan", "some", "local", "global")
+    return StreamRun(Engine(spark), w, "scan", f"{path}/run").start().wait().results().toDF("status", "n")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

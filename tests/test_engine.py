@@ -89,6 +89,81 @@ def test_service(engine):
     server.shutdown()
 
 
+@pytest.fixture
+def slow(spark):
+    """An engine whose table takes a second to read."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    wait = F.udf(lambda k: time.sleep(1) or k, "int")
+    return Engine(spark, {"t": spark.createDataFrame([(k, k % 3) for k in range(30)], "k int, g int").coalesce(1).select(F.when(F.col("k") == 0, wait("k")).otherwise(F.col("k")).alias("k"), "g")})
+
+
+def test_pause_and_resume_over_http(slow, tmp_path):
+    """A workflow with one sink is held while it runs, and loses nothing."""
+    import time
+
+    server = serve(Service(slow, str(tmp_path)), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(path, **body):
+        url = f"http://127.0.0.1:{server.server_port}/api/{path}"
+        with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode())) as r:
+            return json.load(r)
+
+    assert ask("queryplan/execute", logicalPlan=plan().to_plan(), workflowID="w", wait=False)["code"] == 0
+    assert ask("pause", workflowID="w")["state"] in ("Pausing", "Paused")
+    for _ in range(600):
+        if (state := ask("status", workflowID="w"))["state"] == "Paused":
+            break
+        time.sleep(0.1)
+    assert state["state"] == "Paused" and state["operatorStates"]["global"] in ("Ready", "Paused")
+    assert ask("queryplan/result", workflowID="w")["result"] == []
+    assert ask("resume", workflowID="w")["code"] == 0
+    for _ in range(600):
+        if (state := ask("status", workflowID="w"))["state"] == "Completed":
+            break
+        time.sleep(0.1)
+    got = ask("queryplan/result", workflowID="w")
+    assert {(r["_c0"], r["_c1"]) for r in got["result"]} == {("0", "6"), ("1", "7"), ("2", "7")} and not got["more"]
+    assert state["operatorStatistics"]["big"] == {"inputCount": 30, "outputCount": 20, "speed": state["operatorStatistics"]["big"]["speed"]}
+    assert set(state["operatorStates"].values()) == {"Completed"}
+    assert ask("deactivate", workflowID="w")["code"] == 0 and list(tmp_path.iterdir()) == []
+    server.shutdown()
+
+
+def test_messages_queue_in_order(slow, tmp_path):
+    run = BatchRun(slow, plan(), str(tmp_path)).start()
+    for _ in range(3):
+        run.pause()
+        run.resume()
+    assert run.wait().state is State.COMPLETED and run.results["global"].count() == 3
+
+
+def test_lowering_writes_nothing(engine, tmp_path):
+    w = Workflow()
+    w.chain(w.add("ScanSource", tableName="t"), w.add("LocalMaterializer", "m", fileName=str(tmp_path / "x")))
+    low = engine.lower(w)
+    assert not (tmp_path / "x").exists()
+    low.write()
+    assert engine.spark.read.parquet(str(tmp_path / "x")).count() == 30
+    assert BatchRun(engine, w, str(tmp_path / "run")).start().wait().status()["operatorStates"]["m"] == "Completed"
+
+
+def test_pages_of_a_result(engine):
+    w = Workflow()
+    w.chain(w.add("ScanSource", tableName="t"), w.add("InsertionSort", attributeName="k", attributeType="int"))
+    page = engine.result(w, offset=10, limit=5)
+    assert [r["_c0"] for r in page["result"]] == ["10", "11", "12", "13", "14"] and page["more"]
+    assert not engine.result(w, offset=25)["more"] and len(engine.result(w)["result"]) == 30
+
+
+def test_tables_of_a_folder(spark):
+    known = {t["tableName"]: t["schema"]["attributes"] for t in Engine.over(spark, "/root/testdata/sf0.001").table_metadata()}
+    assert {"orders", "lineitem", "region"} <= set(known) and known["region"][0]["attributeName"] == "r_regionkey"
+
+
 def test_batch_run(engine, tmp_path):
     w = plan()
     w.chain("big", w.add("ViewResults", "view", limit=3))
@@ -163,6 +238,21 @@ def test_pause_and_resume(spark, tmp_path):
     assert run.state is State.COMPLETED and run.results().distinct().count() == 39
 
 
+def test_group_by_over_a_stream_merges_all_files(spark, tmp_path):
+    e = Engine(spark, {"s": files(spark, tmp_path)})
+    w = Workflow()
+    w.add("ScanSource", "scan", tableName="s")
+    w.add("Comparison", "some", attributeName="id", attributeType="int", comparisonType="<", compareTo=35)
+    w.add("Aggregation", "count")
+    w.chain("scan", "some", "count")
+    run = StreamRun(e, w, "scan", str(tmp_path / "run"), breakpoints=[Breakpoint("some", count=15)]).start().wait()
+    assert run.delivered == "some" and run.state is State.BREAKPOINT and run.results().first()[0] == 20
+    run.resume()
+    assert run.wait().results().first()[0] == 35
+    with pytest.raises(PlanError):
+        StreamRun(e, w, "scan", str(tmp_path / "no"), breakpoints=[Breakpoint("count", count=1)])
+
+
 def test_stream_join(spark, tmp_path):
     for name in ("a", "b"):
         spark.range(5).withColumnRenamed("id", name).write.parquet(str(tmp_path / name))
