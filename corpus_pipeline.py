@@ -68,9 +68,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written to the shared folder and reread."""
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         kept = stage(spark, docs, sf_dir)
-        docs = kept if name == STAGES[-1][0] else scratch.keep(kept)
+        if name == STAGES[-1][0]:
+            return kept
+        docs = scratch.keep(kept)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs

@@ -18,9 +18,11 @@ def extended(fields: T.StructType, ddl: str) -> T.StructType:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster shares, ``spark.checkpoint.dir``. Unset, it is a temporary one where Spark runs on this machine alone, and an error else."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="dagframe-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
@@ -30,7 +32,7 @@ class Scratch:
     """Tables that cut lineage: each is written once to the shared folder and read back.
 
     ``keep`` returns the reread table. ``drop`` deletes those that no later step reads; what a
-    result still reads stays until the JVM ends.
+    result still reads stays until ``close`` or the end of the JVM.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -53,6 +55,10 @@ class Scratch:
         for t in tables:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path), True)
 
+    def close(self) -> None:
+        """Deletes all tables, once no result that reads them is needed any more."""
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.root), True)
+
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Consecutive rows with equal keys, each run as one batch; the input is sorted by the keys."""

@@ -3,8 +3,8 @@
 Each input task keeps a memtable from digest to (best id, count). A full memtable is flushed as a
 run sorted by digest, so a text repeated a million times leaves one entry for each run. Runs go to
 digest ranges; there a ``MergeIndex`` compacts runs of like size, keeping the best id and adding
-counts, and holds a Bloom filter for each run that spares most searches of other runs. Digests met
-more than once are hits. Every hit is verified: its bytes are compared with those of the row that
+counts. Long runs lie in the shared folder and are merged as streams, with a Bloom filter for each
+run in memory, which tells most digests apart that no other run has. Digests met more than once are hits. Every hit is verified: its bytes are compared with those of the row that
 stays, whose text is copied to as many salts as the group needs. Texts that share a digest but not
 the bytes are grouped again by their bytes.
 """
@@ -12,16 +12,18 @@ the bytes are grouped again by their bytes.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from heapq import merge
-from itertools import groupby
+from itertools import batched, groupby
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Membership, Scratch, runs
+from ._shared import Membership, Scratch
 
 MEMTABLE = 1 << 16
 #: Rows of a group that are compared with one copy of the text that stays.
@@ -34,35 +36,81 @@ def normalise(text: bytes | None) -> bytes:
 
 
 class Run:
-    """Entries ``(digest, id, count)`` sorted by digest, with a Bloom filter of about ten bits each."""
-
-    def __init__(self, entries: list[tuple[bytes, int | None, int]]):
-        self.entries = entries
-        self.digests = [e[0] for e in entries]
-        self.bits = 1 << max(6, (10 * len(entries)).bit_length())
-        self.filter = bytearray(self.bits // 8)
-        for d in self.digests:
-            for at in self._places(d):
+    """Entries ``(digest, id, count)`` sorted by digest, in memory or in a file, with a Bloom filter of about ten bits each."""
+
+    ROWS = 4096
+
+    def __init__(self, entries: Iterable[tuple[bytes, int | None, int]], size: int, folder: str | None = None):
+        """``size``: at least the number of entries. With a ``folder`` they are written there as they come."""
+        self.bits = 1 << max(6, (10 * size).bit_length())
+        self.filter, self.size, self.least = bytearray(self.bits // 8), 0, []
+        self._fs = self.path = None
+        if folder is None:
+            self.entries = list(self._noted(entries))
+            self.digests = [e[0] for e in self.entries]
+            return
+        self._fs, folder = fs.FileSystem.from_uri(folder)
+        self._fs.create_dir(folder)
+        self.path = f"{folder}/{uuid.uuid4().hex}"
+        schema = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
+        with self._fs.open_output_stream(self.path) as out, pa.ipc.new_file(out, schema) as w:
+            for part in batched(self._noted(entries), self.ROWS):
+                self.least.append(part[0][0])
+                w.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part), schema)], schema=schema))
+
+    def _noted(self, entries: Iterable) -> Iterator:
+        for e in entries:
+            self.size += 1
+            for at in self._places(e[0]):
                 self.filter[at >> 3] |= 1 << (at & 7)
+            yield e
 
     def _places(self, digest: bytes) -> list[int]:
         h = int.from_bytes(hashlib.blake2b(digest, digest_size=12).digest(), "big")
         return [(h >> s) % self.bits for s in (0, 32, 64)]
 
+    def __iter__(self) -> Iterator[tuple[bytes, int | None, int]]:
+        if self.path is None:
+            yield from self.entries
+            return
+        with self._fs.open_input_file(self.path) as file:
+            reader = pa.ipc.open_file(file)
+            for k in range(reader.num_record_batches):
+                yield from zip(*(c.to_pylist() for c in reader.get_batch(k).columns))
+
+    def maybe(self, digest: bytes) -> bool:
+        return all(self.filter[at >> 3] >> (at & 7) & 1 for at in self._places(digest))
+
     def find(self, digest: bytes) -> tuple[bytes, int | None, int] | None:
-        if any(not self.filter[at >> 3] >> (at & 7) & 1 for at in self._places(digest)):
+        if not self.maybe(digest):
+            return None
+        if self.path is None:
+            k = bisect_left(self.digests, digest)
+            return self.entries[k] if k < len(self.digests) and self.digests[k] == digest else None
+        block = bisect_right(self.least, digest) - 1
+        if block < 0:
             return None
-        k = bisect_left(self.digests, digest)
-        return self.entries[k] if k < len(self.digests) and self.digests[k] == digest else None
+        with self._fs.open_input_file(self.path) as file:
+            digests, ids, counts = (c.to_pylist() for c in pa.ipc.open_file(file).get_batch(block).columns)
+        k = bisect_left(digests, digest)
+        return (digest, ids[k], counts[k]) if k < len(digests) and digests[k] == digest else None
+
+    def drop(self) -> None:
+        if self.path is not None:
+            self._fs.delete_file(self.path)
 
 
 class MergeIndex:
-    """A log-structured merge index. ``keep``: ``smallest`` or ``largest`` id of equal digests; a null id loses."""
+    """A log-structured merge index. ``keep``: ``smallest`` or ``largest`` id of equal digests; a null id loses.
+
+    With a ``folder``, runs of more than ``memtable`` entries are kept there, so that memory holds runs of one
+    memtable, filters and the heads of the runs that are merged.
+    """
 
-    def __init__(self, keep: str = "smallest", memtable: int = MEMTABLE, fan_in: int = 4):
+    def __init__(self, keep: str = "smallest", memtable: int = MEMTABLE, fan_in: int = 4, folder: str | None = None):
         if keep not in ("smallest", "largest"):
             raise ValueError(f"keep must be smallest or largest, not {keep!r}")
-        self.pick, self.limit, self.fan_in = (min if keep == "smallest" else max), memtable, fan_in
+        self.pick, self.limit, self.fan_in, self.folder = (min if keep == "smallest" else max), memtable, fan_in, folder
         self.memtable: dict[bytes, tuple[int | None, int]] = {}
         self.tiers: list[list[Run]] = []
 
@@ -80,36 +128,39 @@ class MergeIndex:
         self.memtable = {}
         return run
 
-    def append(self, entries: list[tuple[bytes, int | None, int]], tier: int = 0) -> None:
+    def append(self, entries: Iterable[tuple[bytes, int | None, int]], size: int | None = None, tier: int = 0) -> None:
         """Takes a sorted run; ``fan_in`` runs of a tier are compacted to one of the next."""
         while tier >= len(self.tiers):
             self.tiers.append([])
-        self.tiers[tier].append(Run(entries))
+        size = len(entries) if size is None else size
+        self.tiers[tier].append(Run(entries, size, self.folder if size > self.limit else None))
         if len(self.tiers[tier]) >= self.fan_in:
             old, self.tiers[tier] = self.tiers[tier], []
-            self.append(list(self.compacted(old)), tier + 1)
+            self.append(self.compacted(old), sum(r.size for r in old), tier + 1)
+            for r in old:
+                r.drop()
 
     def compacted(self, old: list[Run]) -> Iterator[tuple[bytes, int | None, int]]:
-        for digest, same in groupby(merge(*(r.entries for r in old), key=lambda e: e[0]), key=lambda e: e[0]):
+        for digest, same in groupby(merge(*old, key=lambda e: e[0]), key=lambda e: e[0]):
             _, best, count = next(same)
             for _, id, n in same:
                 best, count = self.better(best, id), count + n
             yield digest, best, count
 
     def hits(self) -> Iterator[tuple[bytes, int | None, int]]:
-        """Digests met more than once, each once. A run's filter answers for most digests of other runs."""
+        """Digests met more than once, each once. Entries that no other run's filter knows are not merged."""
         if self.memtable:
             self.append(self.flush())
         live = [r for tier in self.tiers for r in tier]
-        for k, run in enumerate(live):
-            for digest, best, count in run.entries:
-                if any(r.find(digest) for r in live[:k]):
-                    continue
-                for r in live[k + 1 :]:
-                    if other := r.find(digest):
-                        best, count = self.better(best, other[1]), count + other[2]
-                if count > 1:
-                    yield digest, best, count
+
+        def shared(run: Run) -> Iterator[tuple[bytes, int | None, int]]:
+            others = [r for r in live if r is not run]
+            return (e for e in run if e[2] > 1 or any(r.maybe(e[0]) for r in others))
+
+        yield from (e for e in self.compacted([shared(r) for r in live]) if e[2] > 1)
+        for r in live:
+            r.drop()
+        self.tiers = []
 
 
 def _key(digest: bytes) -> int:
@@ -160,17 +211,22 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         if index.memtable:
             yield batch()
 
+    folder = f"{scratch.root}/runs"
+
     def compact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in runs(batches, ["shard"]):
-            index = MergeIndex(keep)
-            cols = [shard.column(k).to_pylist() for k in ("task", "run", "digest", "id", "n")]
-            for _, run in groupby(zip(*cols), key=lambda e: e[:2]):
-                index.append([e[2:] for e in run])
-            found = list(index.hits())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([e[0] for e in found], pa.binary()), pa.array([_key(e[0]) for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64()), pa.array([e[2] for e in found], pa.int64())],
-                ["digest", "key", "keep_id", "group_size"],
-            )
+        def found(index):
+            for part in batched(index.hits(), 10_000):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([e[0] for e in part], pa.binary()), pa.array([_key(e[0]) for e in part], pa.int64()), pa.array([e[1] for e in part], pa.int64()), pa.array([e[2] for e in part], pa.int64())],
+                    ["digest", "key", "keep_id", "group_size"],
+                )
+
+        rows = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in ("shard", "task", "run", "digest", "id", "n"))))
+        for _, shard in groupby(rows, key=lambda r: r[0]):
+            index = MergeIndex(keep, memtable, folder=folder)
+            for _, run in groupby(shard, key=lambda r: r[1:3]):
+                index.append([r[3:] for r in run])
+            yield from found(index)
 
     hits = scratch.keep(
         table.mapInArrow(flushed, "shard int, run int, digest binary, id long, n long")
@@ -188,10 +244,11 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.binary()), pa.array(digest, pa.binary())], ["id", "text", "digest"]).filter(mask)
 
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    rows = source.mapInArrow(suspects, "id long, text binary, digest binary").join(hits, "digest")
+    rows = source.mapInArrow(suspects, "id long, text binary, digest binary").withColumn("at", F.monotonically_increasing_id()).join(hits, "digest")
     stays = rows.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     first = stays.groupBy("digest", "salt").agg(F.min("kept_text").alias("kept_text"))
-    compared = rows.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).join(first, ["digest", "salt"])
+    # By place, as rows that are alike in all columns have to part too.
+    compared = rows.withColumn("salt", F.pmod("at", salts).cast("int")).join(first, ["digest", "salt"])
     unequal = scratch.keep(compared.where(F.col("text") != F.col("kept_text")).select("digest").distinct())
 
     out = table.withColumn("digest", F.substring("sha", 1, digest_bytes))

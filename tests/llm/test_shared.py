@@ -49,6 +49,10 @@ def test_scratch_tables(spark):
     t = s.keep(spark.range(5))
     assert t.count() == 5 and s.root.startswith(scratch_dir(spark))
     s.drop(t)
+    s.keep(spark.range(2))
+    s.close()
+    path = spark._jvm.org.apache.hadoop.fs.Path(s.root)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     assert extended(spark.range(1).schema, "x array<int>").names == ["id", "x"]
 
 
