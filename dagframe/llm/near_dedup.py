@@ -8,10 +8,11 @@ probability about s, and more than one child in expectation where s is at the th
 Recursion ends where a node has at most ``LEAF`` members. Such nodes are compared exhaustively: on the
 tokens first, and members with a partner in the node that may reach the threshold on their full sets.
 The first trees link most of what there is to link; the other trees look only for links between
-different components, so a member's full set moves at most once for each of its small nodes.
+different components, and drop nodes of one component. A member's full set moves at most once for each
+of its small nodes.
 
-Nodes that hardly get smaller from a level to the next (or are large at level ``DEPTH``) hold copies
-of like texts. They are confirmed in blocks of at most ``BLOCK`` members: each block holds the node's
+Nodes that hardly get smaller from a level to the next, are one component but for a few members, or
+are large at level ``DEPTH``, hold copies of like texts. They are confirmed in blocks of at most ``BLOCK`` members: each block holds the node's
 pivots too, and the members that the node's largest component leaves out are compared with every block
 of the node. So no link between two components is missed, and copies cost time in proportion to their
 number. The number of trees follows from the target recall.
@@ -35,7 +36,7 @@ DEPTH = 10
 #: The chance of a second coordinate at a tree node.
 EXTRA = 0.5
 LEAF = 256
-#: A child with this share of its parent's members is not branched any more.
+#: A child with this share of its parent's members, or with this share of its members in one component, is not branched any more.
 DENSE = 0.9
 #: Trees that are confirmed first.
 FIRST = 2
@@ -171,88 +172,92 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()))
     tokens, total = nodes.select("node", "sig"), nodes.count()
 
-    # The trees, level by level: (key, tree, node), with the size of the node above.
+    # The trees, level by level: (key, node, label), with the size of the node above. Labels are components so far.
     trees = n_trees(threshold, recall)
-    at_level = "key long, tree int, node long, up long"
-
-    def roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, sig = b.column(0), _matrix(b.column(1), np.uint32, COORDS)
-            for t in range(trees):
-                r, child = _children(np.full(len(sig), t, _U), sig)
-                yield pa.RecordBatch.from_arrays([longs(child), pa.array(np.full(len(r), t, np.int32)), node.take(pa.array(r)), pa.array(np.full(len(r), total))], ["key", "tree", "node", "up"])
+    at_level = "key long, node long, up long"
 
     def deeper(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 r, child = _children(b.column("key").to_numpy().view(_U), _matrix(b.column("sig"), np.uint32, COORDS))
                 r = pa.array(r)
-                yield pa.RecordBatch.from_arrays([longs(child), *(b.column(c).take(r) for c in ("tree", "node", "m"))], ["key", "tree", "node", "up"])
-
-    level, small, dense, done = tokens.mapInArrow(roots, at_level), [], [], []
-    for depth in range(1, DEPTH + 1):
-        held = scratch.keep(level)
-        sizes = scratch.keep(held.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("up").alias("up")).where("m > 1"))
-        done += [held, sizes]
-        big = sizes.where(F.col("m") > leaf).withColumn("dense", (F.col("m") >= DENSE * F.col("up")) | F.lit(depth == DEPTH)).drop("up")
-        n_big, n_dense = big.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("dense").cast("int")), F.lit(0))).first()
-        rest = held.drop("up")
-        if n_big:
-            # Keys of large nodes are dealt with by a broadcast list, so that no task gets all members of one.
-            listed = F.broadcast(big) if n_big <= MAX_LARGE else big
-            large = scratch.keep(rest.join(listed, "key"))
-            done.append(large)
-            rest = rest.join(listed.select("key"), "key", "left_anti")
-            if n_dense:
-                dense.append(large.where("dense").select(F.col("key").alias("grp"), "tree", "node", "m"))
-        small.append(rest.join(sizes.where(F.col("m") <= leaf).select("key"), "key", "left_semi"))
-        if n_big == n_dense:
-            break
-        level = large.where("not dense").join(tokens, "node").select("key", "tree", "node", "sig", "m").mapInArrow(deeper, at_level)
-
-    def together(frames: list[DataFrame]) -> DataFrame | None:
-        out = None
-        for f in frames:
-            out = f if out is None else out.unionByName(f)
-        return out
+                yield pa.RecordBatch.from_arrays([longs(child), b.column("node").take(r), b.column("m").take(r)], ["key", "node", "up"])
 
     def partners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members of small nodes that have a partner of another label, told by tokens."""
         for run in runs(batches, ["key"]):
-            sig = _matrix(run.column("sig"), np.uint32, COORDS)
+            sig, label = _matrix(run.column("sig"), np.uint32, COORDS), run.column("label").to_numpy()
             i, j = ([0], [1]) if len(sig) == 2 and (sig[0] == sig[1]).sum() >= floor * COORDS else _similar(sig, floor) if len(sig) > 2 else ([], [])
-            if len(i) and "label" in run.schema.names:
-                label = run.column("label").to_numpy()
-                apart = label[i] != label[j]
-                i, j = np.asarray(i)[apart], np.asarray(j)[apart]
-            if len(i):
-                who = pa.array(np.unique(np.concatenate([i, j])))
-                yield pa.RecordBatch.from_arrays([run.column(c).take(who) for c in ("key", "tree", "node")], ["key", "tree", "node"])
+            apart = label[i] != label[j] if len(i) else np.zeros(0, bool)
+            if apart.any():
+                who = pa.array(np.unique(np.concatenate([np.asarray(i)[apart], np.asarray(j)[apart]])))
+                yield pa.RecordBatch.from_arrays([run.column(c).take(who) for c in ("key", "node", "label")], ["key", "node", "label"])
 
     by_key = lambda t, *k: t.repartition(*k).sortWithinPartitions(*k)
-    leaves = by_key(together(small).join(tokens, "node"), "key").mapInArrow(partners, "key long, tree int, node long")
-    leaves = scratch.keep(leaves)
-    dense = scratch.keep(together(dense)) if dense else None
-    scratch.drop(*done)
 
-    # Full sets of the members that may have a link, one copy of each.
-    may = leaves.select("node")
-    may = scratch.keep((may.union(dense.select("node")) if dense else may).distinct().join(nodes.select("node", *name), "node"))
-    known = Membership(may.select("n1"))
-
-    def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, words, bounds in word_hashes(b.column(0), SPACED):
-                sets = [s for x, y in zip(bounds[:-1], bounds[1:]) if len(s := shingle_set(words[x:y], shingle))]
-                both = np.array([set_hash(s) for s in sets], _U).reshape(-1, 2).view(np.int64)
-                keep = np.flatnonzero(known.maybe(both[:, 0].copy()))
-                keep = keep[np.sort(np.unique(both[keep], axis=0, return_index=True)[1])] if len(keep) else keep
-                for k in range(0, len(keep), 256):
-                    part = keep[k : k + 256]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(both[part, c]) for c in (0, 1)), pa.array([signature(sets[i]).astype(np.uint8).tobytes() for i in part], pa.binary()), pa.array([sets[i].tobytes() for i in part], pa.binary())], [*name, "sig8", "shingles"])
-
-    sets = source.select("text").mapInArrow(members, "n1 long, n2 long, sig8 binary, shingles binary").join(may, name)
-    sets = scratch.keep(sets.groupBy("node").agg(F.first("sig8").alias("sig8"), F.first("shingles").alias("shingles")))
+    def label(t: DataFrame, classes: DataFrame | None) -> DataFrame:
+        if classes is None:
+            return t.withColumn("label", F.col("node"))
+        return t.join(classes, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+    def grown(first: int, last: int, classes: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+        """``(leaves, dense)`` of the trees from ``first`` on: members of small nodes with a partner there, and large nodes (grp, node, m) that are not branched."""
+
+        def roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sig = _matrix(b.column(1), np.uint32, COORDS)
+                for t in range(first, last):
+                    r, child = _children(np.full(len(sig), t, _U), sig)
+                    yield pa.RecordBatch.from_arrays([longs(child), b.column(0).take(pa.array(r)), pa.array(np.full(len(r), total))], ["key", "node", "up"])
+
+        level, small, dense, done = tokens.mapInArrow(roots, at_level), None, None, []
+        for depth in range(1, DEPTH + 1):
+            held = scratch.keep(label(level, classes).select("key", "node", "label", "up"))
+            sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("up").alias("up"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+            sizes = scratch.keep(sizes.where("lo <> hi").select("key", "m", "up"))
+            done += [held, sizes]
+            big = sizes.where(F.col("m") > leaf).select("key", "m", ((F.col("m") >= DENSE * F.col("up")) | F.lit(depth == DEPTH)).alias("dense"))
+            n_big, rest = big.count(), held.drop("up")
+            if n_big:
+                # Keys of large nodes are dealt with by a broadcast list, so that no task gets all members of one.
+                listed = lambda t: F.broadcast(t) if n_big <= MAX_LARGE else t  # noqa: E731, B023
+                if classes is not None:
+                    most = rest.join(listed(big.select("key")), "key").groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max("k").alias("k"))
+                    big = big.join(most, "key").select("key", "m", (F.col("dense") | (F.col("k") >= DENSE * F.col("m"))).alias("dense"))
+                big = scratch.keep(big)
+                large = scratch.keep(rest.join(listed(big), "key"))
+                done += [big, large]
+                rest = rest.join(listed(big.select("key")), "key", "left_anti")
+                packed = large.where("dense").select(F.col("key").alias("grp"), "node", "m")
+                dense = packed if dense is None else dense.union(packed)
+            rest = rest.join(sizes.where(F.col("m") <= leaf).select("key"), "key", "left_semi")
+            small = rest if small is None else small.union(rest)
+            if not n_big or large.where("not dense").isEmpty():
+                break
+            level = large.where("not dense").join(tokens, "node").select("key", "node", "sig", "m").mapInArrow(deeper, at_level)
+        leaves = scratch.keep(by_key(small.join(tokens, "node"), "key").mapInArrow(partners, "key long, node long, label long"))
+        dense = scratch.keep(dense.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))) if dense is not None else None
+        scratch.drop(*done)
+        return leaves, dense
+
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        """``node, sig8, shingles`` of members, one copy of each."""
+        may = scratch.keep(wanted.distinct().join(nodes.select("node", *name), "node"))
+        known = Membership(may.select("n1"))
+
+        def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for _, _, words, bounds in word_hashes(b.column(0), SPACED):
+                    sets = [s for x, y in zip(bounds[:-1], bounds[1:]) if len(s := shingle_set(words[x:y], shingle))]
+                    both = np.array([set_hash(s) for s in sets], _U).reshape(-1, 2).view(np.int64)
+                    keep = np.flatnonzero(known.maybe(both[:, 0].copy()))
+                    keep = keep[np.sort(np.unique(both[keep], axis=0, return_index=True)[1])] if len(keep) else keep
+                    for k in range(0, len(keep), 256):
+                        part = keep[k : k + 256]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(both[part, c]) for c in (0, 1)), pa.array([signature(sets[i]).astype(np.uint8).tobytes() for i in part], pa.binary()), pa.array([sets[i].tobytes() for i in part], pa.binary())], [*name, "sig8", "shingles"])
+
+        sets = source.select("text").mapInArrow(members, "n1 long, n2 long, sig8 binary, shingles binary").join(may, name)
+        return scratch.keep(sets.groupBy("node").agg(F.first("sig8").alias("sig8"), F.first("shingles").alias("shingles")))
 
     def confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links on full sets within each ``(grp, part)``, as many as connect what is linked; members of one ``label`` are connected already."""
@@ -261,10 +266,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             run = run.take(pa.array(at))
             data = [np.frombuffer(s, _U) for s in run.column("shingles").to_pylist()]
             union, found = _Union(len(node)), []
-            if "label" in run.schema.names:
-                _, first, inverse = np.unique(run.column("label").to_numpy(), return_index=True, return_inverse=True)
-                for x, k in enumerate(inverse.tolist()):
-                    union.join(int(first[k]), x)
+            _, first, inverse = np.unique(run.column("label").to_numpy(), return_index=True, return_inverse=True)
+            for x, k in enumerate(inverse.tolist()):
+                union.join(int(first[k]), x)
             i, j = _similar(_matrix(run.column("sig8"), np.uint8, COORDS), floor)
             for x, y in zip(i.tolist(), j.tolist()):
                 if union.find(x) != union.find(y):
@@ -277,43 +281,40 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(node[[x for x, _ in found]]), pa.array(node[[y for _, y in found]])], ["a", "b"])
 
-    def small_nodes(members: DataFrame, *label: str) -> DataFrame:
-        return members.select(F.col("key").alias("grp"), F.lit("").alias("part"), "node", *label).join(sets, "node")
-
-    cols = ["grp", "part", "node", "sig8", "shingles"]
-    work = small_nodes(leaves.where(F.col("tree") < FIRST)).select(cols)
+    cols = ["grp", "part", "node", "label", "sig8", "shingles"]
     blocks = F.ceil(F.col("m") / block).cast("int")
-    if dense:
-        dense = dense.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        early = dense.where(F.col("tree") < FIRST)
-        pivots = early.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("node"), "node"))).where(F.col("_r") <= PIVOTS).drop("_r")
-        spread = early.select("grp", "blk", "node").union(pivots.select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"), "node"))
-        work = work.union(spread.join(sets, "node").withColumn("part", F.col("blk").cast("string")).select(cols))
-    links = scratch.keep(by_key(work, "grp", "part").mapInArrow(confirmed, "a long, b long"))
+    confirm = lambda work, sets: by_key(work.join(sets, "node").select(cols), "grp", "part").mapInArrow(confirmed, "a long, b long")
+    small_nodes = lambda leaves: leaves.select(F.col("key").alias("grp"), F.lit("").alias("part"), "node", "label")
+
+    leaves, dense = grown(0, min(FIRST, trees), None)
+    work = small_nodes(leaves)
+    if dense is not None:
+        pivots = dense.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("node"), "node"))).where(F.col("_r") <= PIVOTS).drop("_r")
+        spread = dense.select("grp", "blk", "node").union(pivots.select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"), "node"))
+        work = work.union(spread.select("grp", F.col("blk").cast("string").alias("part"), "node", F.col("node").alias("label")))
+    sets = full_sets(work.select("node"))
+    links = scratch.keep(confirm(work, sets))
     classes = scratch.keep(components(links, scratch).toDF("node", "root"))
 
     # What the first trees left apart. Large nodes: members outside the node's largest component meet all of its blocks.
-    cols.append("label")
-    label = lambda t: t.join(classes, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    later = label(leaves.where(F.col("tree") >= FIRST))
-    apart = later.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    later = later.join(apart, "key").join(tokens, "node")
-    later = by_key(later, "key").mapInArrow(partners, "key long, tree int, node long")
-    work = small_nodes(label(later), "label").select(cols)
-    if dense:
-        labelled = label(dense)
+    others, more = grown(min(FIRST, trees), trees, classes)
+    work = small_nodes(others)
+    dense = more if dense is None else dense if more is None else dense.union(more)
+    if dense is not None:
+        labelled = label(dense, classes)
         per_label = labelled.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k"))
         top = per_label.groupBy("grp").agg(F.max(F.struct("k", "label")).alias("top"), (F.sum("k") - F.max("k")).alias("others")).where("others > 0")
         top = top.select("grp", F.col("top.label").alias("top"), F.ceil(F.col("others") / block).cast("int").alias("rests"))
         labelled = scratch.keep(labelled.join(top, "grp"))
         every = labelled.withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("grp", F.concat_ws("-", "mine", "blk").alias("part"), "node", "label")
         mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("rests"))
-        others = labelled.where("label <> top").select("grp", "node", "label", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"))
-        met = every.union(others.select("grp", F.concat_ws("-", "mine", "blk").alias("part"), "node", "label"))
-        work = work.union(met.join(sets, "node").select(cols))
-    links = scratch.keep(links.union(by_key(work, "grp", "part").mapInArrow(confirmed, "a long, b long")))
+        apart = labelled.where("label <> top").select("grp", "node", "label", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("blk"))
+        work = work.union(every).union(apart.select("grp", F.concat_ws("-", "mine", "blk").alias("part"), "node", "label"))
+    work = scratch.keep(work)
+    unread = work.select("node").distinct().join(sets.select("node"), "node", "left_anti")
+    links = scratch.keep(links.union(confirm(work, sets.union(full_sets(unread)))))
     classes = scratch.keep(components(links, scratch).toDF("node", "root"))
-    scratch.drop(sets, leaves)
+    scratch.drop(sets, leaves, others, work)
 
     named = nodes.join(classes, "node", "left").select(*name, "low", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
