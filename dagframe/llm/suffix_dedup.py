@@ -42,6 +42,8 @@ GRAM = 48
 BATCH = 20_000
 #: Names with more different tuples than this are split.
 HOT = 1_000
+#: Bytes of whole texts that are looked at together, about.
+STEP = 1 << 20
 #: Bytes of tuples that a queue holds in memory.
 QUEUE = 32 << 20
 _U = np.uint64
@@ -233,7 +235,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
 
     def names(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, buf, off in chunks(b.column(0)):
+            for _, _, buf, off in chunks(b.column(0), STEP):
                 name, n = np.unique(_anchors(buf, off, length, gram)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([longs(name), pa.array(n)], ["name", "n"])
 
@@ -243,7 +245,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
 
     def tuples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, _, buf, off in chunks(b.column(2)):
+            for lo, _, buf, off in chunks(b.column(2), STEP):
                 text, anchor, first, last, name = _anchors(buf, off, length, gram)
                 at = np.flatnonzero(known.maybe(name.view(np.int64)))
                 if not len(at):
@@ -274,7 +276,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
 
     folder = f"{scratch.root}/queue"
     schema = "name long, low int, high int, weight long, id long, hash long, anchor int, bytes binary"
-    every = docs.select("id", "hash", "text").mapInArrow(tuples, schema)
+    every = scratch.keep(docs.select("id", "hash", "text").mapInArrow(tuples, schema))
 
     def induced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
