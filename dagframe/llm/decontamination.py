@@ -23,8 +23,8 @@ from ._shared import extended
 from ._words import ALNUM, LOWER, chunks, hashes, spans
 
 WINDOW = 13
-#: Words of test items in one broadcast; more items are searched in further passes.
-BLOCK_WORDS = 500_000
+#: Words of test items in one broadcast (some 0.4 KB each); more are searched in further passes.
+BLOCK_WORDS = 250_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,11 +46,17 @@ class WuManber:
     """Shift and suffix tables over patterns of words; ``find`` yields each occurrence."""
 
     def __init__(self, patterns: dict[tuple[bytes, ...], set]):
-        """``patterns``: words of a pattern to the items that have it."""
+        """``patterns``: words of a pattern to the items that have it. Words and lists of items are held once."""
         groups: dict[int, list] = defaultdict(list)
         longest = max(map(len, patterns), default=0)
+        every = sorted({w for words in patterns for w in words})
+        once = {w: w for w in every}
+        ids_of = dict(zip(every, _word_ids(every))) if every else {}
+        lists: dict[tuple, tuple] = {}
         for words, items in patterns.items():
-            groups[longest if len(words) == longest else 1 << (len(words).bit_length() - 1)].append((words, sorted(items)))
+            who = tuple(sorted(items))
+            words = tuple(once[w] for w in words)
+            groups[longest if len(words) == longest else 1 << (len(words).bit_length() - 1)].append((words, lists.setdefault(who, who)))
         self.tables = []
         for some in groups.values():
             m = min(len(w) for w, _ in some)
@@ -58,14 +64,14 @@ class WuManber:
             shift: dict = {}
             bucket: dict = defaultdict(list)
             for words, items in some:
-                ids = _word_ids(list(words))
+                ids = [ids_of[w] for w in words]
                 for end in range(b - 1, m):
                     block = ids[end] if b == 1 else (ids[end - 1], ids[end])
                     shift[block] = min(shift.get(block, m), m - 1 - end)
-                bucket[ids[m - 1] if b == 1 else (ids[m - 2], ids[m - 1])].append((ids, words, items))
+                bucket[ids[m - 1] if b == 1 else (ids[m - 2], ids[m - 1])].append((words, items))
             self.tables.append((m, b, shift, dict(bucket)))
 
-    def find(self, ids: list[int], word) -> Iterator[tuple[int, int, list]]:
+    def find(self, ids: list[int], word) -> Iterator[tuple[int, int, tuple]]:
         """``(first word, end, items)``. ``ids``: hashes of the text's words; ``word(k)``: the bytes of the k-th."""
         n = len(ids)
         for m, b, shift, bucket in self.tables:
@@ -77,9 +83,9 @@ class WuManber:
                     at += step
                     continue
                 first = at - m + 1
-                for pattern, words, items in bucket.get(block, ()):
-                    end = first + len(pattern)
-                    if end <= n and ids[first:end] == pattern and all(word(first + k) == w for k, w in enumerate(words)):
+                for words, items in bucket.get(block, ()):
+                    end = first + len(words)
+                    if end <= n and all(word(first + k) == w for k, w in enumerate(words)):
                         yield first, end, items
                 at += 1
 
@@ -94,32 +100,43 @@ def windows_of(items: Iterable[tuple], window: int = WINDOW) -> dict[tuple[bytes
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
+def _pieces(text: str | None, window: int, most: int) -> Iterator[str | None]:
+    """The text, or where it has more than ``most`` words, parts of it that have all of its windows."""
+    if len(text or "") <= 2 * most:
+        yield text
+        return
+    words = words_of(text)
+    for k in range(0, max(1, len(words) - window + 1), most):
+        yield b" ".join(words[k : k + most + window - 1]).decode("utf-8", "replace")
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[list[tuple]]:
     block, size = [], 0
     for item, text in benchmark.where(F.col(id_col).isNotNull()).select(id_col, text_col).toLocalIterator():
-        block.append((item, text))
-        size += len(text or "") // 2
-        if size >= BLOCK_WORDS:
-            yield block
-            block, size = [], 0
+        for part in _pieces(text, window, most):
+            block.append((item, part))
+            size += len(part or "") // 2
+            if size >= most:
+                yield block
+                block, size = [], 0
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, min_share: float = 0.05, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, min_share: float = 0.05, item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with ``n_words, hit_spans, items, n_hit, contaminated``.
 
     ``hit_spans``: maximal runs of words inside occurrences, as pairs of word numbers; ``items``: the
     ids found, as strings, sorted. Contaminated: some words hit, and at least ``min_share`` of all.
     Null text has no words. Items with a null id or without words have no window; an empty benchmark
     hits nothing; an empty table gives an empty result. Repeated rows are judged each, and columns
-    with the results' names are replaced. Benchmarks over ``BLOCK_WORDS`` words are searched block by
+    with the results' names are replaced. Benchmarks over ``block_words`` words are searched block by
     block over the whole table, the spans united.
     """
     made = ["n_words", "hit_spans", "items", "n_hit", "contaminated"]
     out = docs.drop(*made)
     spark, fields = docs.sparkSession, out.schema
     found_type = "array<struct<first:int,end:int>>"
-    for block in _blocks(benchmark, item_col, item_text_col):
+    for block in _blocks(benchmark, item_col, item_text_col, window, block_words):
         table = spark.sparkContext.broadcast(WuManber(windows_of(block, window)))
         first = "hit_spans" not in out.columns
 

@@ -32,12 +32,11 @@ def test_search_against_brute_force():
 
 
 @pytest.mark.parametrize("block", [500_000, 20])
-def test_against_brute_force(docs, spark, words, block, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK_WORDS", block)
+def test_against_brute_force(docs, spark, words, block):
     items = [(k, words(k, 30)) for k in range(6)] + [(10, "short item here"), (11, "lone"), (12, ""), (13, None), (14, words(0, 30)), (None, "w1 w2")]
     rows = [(1, words(50, 60) + " " + words(0, 30)[:70] + "  x"), (2, "Lone. SHORT-item, here"), (3, None), (4, ""), (5, words(51, 400)), (6, words(3, 30)), (6, words(3, 30)), (None, "lone"), (8, words(52, 3000) + " lone")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = contamination(docs(rows).withColumnRenamed("n", "n_hit"), bench).collect()
+    got = contamination(docs(rows).withColumnRenamed("n", "n_hit"), bench, block_words=block).collect()
     assert len(got) == len(rows)
     for r in got:
         n, hit, found = brute(r["text"], [i for i in items if i[0] is not None])
@@ -50,3 +49,10 @@ def test_empty(docs, spark):
     assert contamination(docs([]), none).collect() == []
     assert [tuple(r[c] for c in ("n_words", "n_hit", "contaminated")) for r in contamination(docs([(1, "a b")]), none).collect()] == [(2, 0, False)]
     assert windows_of([(1, "a b")]) == {(b"a", b"b"): {"1"}}
+
+
+def test_long_items_are_searched_in_parts(words):
+    item = words(9, 300)
+    parts = list(D._pieces(item, 13, 50))
+    assert len(parts) > 4 and set(windows_of([(1, p) for p in parts])) == set(windows_of([(1, item)]))
+    assert list(D._pieces("x" * 1000, 13, 50)) == ["x" * 1000] and list(D._pieces(None, 13, 50)) == [None]
