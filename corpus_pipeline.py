@@ -40,8 +40,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which benchmark passages cover a twentieth of the words or more."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drops documents of which benchmark passages cover a twentieth of the words or more, those of items without an id too."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
+    found = contamination(docs, items)
     return found.where(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select(docs.columns)
 
 

@@ -128,10 +128,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_co
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
 
 
-def labelled_languages(spark, sf_dir: str) -> DataFrame:
-    """Documents that the labelled table covers, with their language as the domain."""
+def labelled_languages(spark, sf_dir: str, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Documents that the labelled table covers, at most ``max_labelled`` of its ids, with their language as the domain."""
     ids = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").where("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("lang").alias("domain"))
     return docs.join(F.broadcast(ids), "doc_id").select("text", "domain")
 

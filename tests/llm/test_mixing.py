@@ -67,3 +67,9 @@ def test_missed_targets_are_reported(docs, spark):
     none = spark.createDataFrame([], "text string, domain string")
     with pytest.warns(UserWarning, match="targets are not met"):
         mixing_rates(docs([(1, "x y"), (2, "z")]), none, {"a": 9, "b": 1})
+
+
+def test_a_very_long_text(docs, spark, words):
+    labelled = spark.createDataFrame([("a b c", "a"), ("x y z", "b")], "text string, domain string")
+    got = {r["id"]: r for r in mixing_rates(docs([(1, "a b " * 100_000), (2, "x " * 300)]), labelled, {"a": 0.5, "b": 0.5}).collect()}
+    assert got[1]["tokens"] == 200_000 and got[2]["tokens"] == 300 and got[1]["p0"] > 0.9 > 0.1 > got[2]["p0"]

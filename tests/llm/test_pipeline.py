@@ -53,7 +53,7 @@ def folder_of(spark, path, rows):
     full = [(i, t, "en" if k % 2 else "fr", "s", len(t or ""), k, "x", None, [None, k]) for k, (i, t) in enumerate(rows)]
     spark.createDataFrame(full, schema).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i, _ in rows if i is not None], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    spark.createDataFrame([("q", "of " * 5), (None, None)], "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([("q", "of " * 5), (None, None), (None, "an item without an id")], "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path)
 
 
@@ -78,3 +78,9 @@ def test_rows_that_mixing_repeats_are_not_neighbours(spark):
     together = sum(len({s for s, _ in v}) == 1 for v in again)
     near = sum(any((s, k + 1) in v for s, k in v) for v in again)
     assert len(again) > 50 and together < 0.35 * len(again) and near < 0.1 * len(again)
+
+
+def test_benchmark_items_without_an_id_count(spark, docs, tmp_path):
+    folder = folder_of(spark, tmp_path / "t", [(1, "x")])
+    got = corpus_pipeline.decontamination(spark, docs([(1, "An item; without an ID!"), (2, "another text"), (None, None)]), folder)
+    assert sorted(repr(r["doc_id"]) for r in got.collect()) == ["2", "None"]
