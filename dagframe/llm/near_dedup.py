@@ -37,7 +37,7 @@ DEPTH = 10
 EXTRA = 0.5
 LEAF = 256
 #: A child with this share of its parent's members, or with this share of its members in one component, is not branched any more.
-DENSE = 0.9
+DENSE = 0.8
 #: Trees that are confirmed first.
 FIRST = 2
 #: At most so many large nodes are broadcast as a list of keys.
