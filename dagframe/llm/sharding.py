@@ -130,10 +130,9 @@ def shuffle_to_shards(df: DataFrame, n_shards: int, id_col: str = "doc_id", seed
 
 
 def op4_sharding(spark, sf_dir: str, n_shards: int = 8) -> DataFrame:
+    """Whole documents are shuffled; sizes and checksums are taken from the rows as they lie in their shards."""
     text = F.coalesce("text", F.lit(""))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    return shuffle_to_shards(docs, n_shards).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    return shuffle_to_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), n_shards).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -1,7 +1,9 @@
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dagframe.llm.sharding import _hypergeometric, communication_matrix, shuffle_to_shards
 
@@ -90,3 +92,21 @@ def test_query(spark):
     sizes = Counter(r["shard"] for r in got)
     assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
     assert len({(r["shard"], r["slot"]) for r in got}) == len(text) and all(r["slot"] < sizes[r["shard"]] for r in got)
+
+
+def test_query_shuffles_whole_documents(spark, monkeypatch):
+    """The operator gets all columns, texts too, and the digests are of the texts that it puts out."""
+    from dagframe.llm import sharding
+
+    folder, given = "/root/testdata/sf0.001", []
+
+    def shuffled(df, *args):
+        given.append(df)
+        return shuffle_to_shards(df, *args).withColumn("text", F.concat("text", F.lit("!")))
+
+    monkeypatch.setattr(sharding, "shuffle_to_shards", shuffled)
+    got = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.op4_sharding(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert given[0].schema == docs.schema
+    text = {r["doc_id"]: (r["text"] + "!").encode() for r in docs.where("text is not null").collect()}
+    assert {i: got[i] for i in text} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in text.items()}
