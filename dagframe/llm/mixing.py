@@ -60,10 +60,12 @@ def domain_posteriors(docs: DataFrame, table: DataFrame, priors: list[float], sh
     """
     n = len(priors)
     text = F.coalesce("text", F.lit(""))
-    each = docs.select("id", F.xxhash64(text).alias("hash"), F.posexplode(_words(text)).alias("at", "word"))
-    each = each.withColumn("real", F.when(F.col("word") != "", 1).otherwise(0)).withColumn("bucket", _bucket(F.col("word")))
-    sums = [F.sum(F.col("real") * F.col(f"w{k}")).alias(f"s{k}") for k in range(n)]
-    each = each.join(F.broadcast(table), "bucket").groupBy("id", "hash").agg(F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("copies"), F.sum("real").alias("words"), *sums)
+    # Hashes are taken before words become rows, so that no row of a word reads the text again.
+    buckets = F.transform(F.filter(_words(text), lambda w: w != ""), _bucket)
+    each = docs.select("id", F.xxhash64(text).alias("hash"), buckets.alias("buckets"))
+    each = each.select("id", "hash", F.posexplode_outer("buckets").alias("at", "bucket")).withColumn("first", F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0))
+    sums = [F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(n)]
+    each = each.join(F.broadcast(table), "bucket", "left").groupBy("id", "hash").agg(F.sum("first").alias("copies"), F.count("bucket").alias("words"), *sums)
     scale = F.when(F.col("words") > 0, sharpness / F.greatest(F.col("words") / F.col("copies"), F.lit(sharpness)) / F.col("copies")).otherwise(0.0)
     each = each.select("id", "hash", "copies", (F.col("words") / F.col("copies")).cast("long").alias("tokens"), *((F.col(f"s{k}") * scale + math.log(priors[k])).alias(f"z{k}") for k in range(n)))
     top = F.greatest(*(F.col(f"z{k}") for k in range(n))) if n > 1 else F.col("z0")

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from dagframe.llm.mixing import BUCKETS, fit_domains, fit_rates, mix, mixing_rates
+from dagframe.llm.mixing import BUCKETS, domain_posteriors, fit_domains, fit_rates, mix, mixing_rates
 
 
 @pytest.fixture
@@ -73,3 +73,13 @@ def test_a_very_long_text(docs, spark, words):
     labelled = spark.createDataFrame([("a b c", "a"), ("x y z", "b")], "text string, domain string")
     got = {r["id"]: r for r in mixing_rates(docs([(1, "a b " * 100_000), (2, "x " * 300)]), labelled, {"a": 0.5, "b": 0.5}).collect()}
     assert got[1]["tokens"] == 200_000 and got[2]["tokens"] == 300 and got[1]["p0"] > 0.9 > 0.1 > got[2]["p0"]
+
+
+def test_words_do_not_read_their_text_again(spark, docs):
+    """The expansion into words drops the text: what is hashed or split for each word grows with the square of a text's length."""
+    table, priors = fit_domains(spark.createDataFrame([("a b", "a"), ("x y", "b")], "text string, domain string"), ["a", "b"])
+    got = domain_posteriors(docs([(1, "a b a"), (1, "a b a"), (2, " "), (3, None)]).select(F.col("doc_id").alias("id"), "text"), table, priors)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    above = plan[: next(i for i, line in enumerate(plan) if "Generate" in line)]
+    assert not any("text#" in line for line in above)
+    assert {r["id"]: (r["copies"], r["tokens"]) for r in got.collect()} == {1: (2, 3), 2: (1, 0), 3: (1, 0)}
