@@ -221,20 +221,24 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             if n_big:
                 # Keys of large nodes are dealt with by a broadcast list, so that no task gets all members of one.
                 listed = lambda t: F.broadcast(t) if n_big <= MAX_LARGE else t  # noqa: E731, B023
-                if classes is not None:
-                    most = rest.join(listed(big.select("key")), "key").groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max("k").alias("k"))
-                    big = big.join(most, "key").select("key", "m", (F.col("dense") | (F.col("k") >= DENSE * F.col("m"))).alias("dense"))
                 big = scratch.keep(big)
+                # Rows of large nodes are joined with their nodes once; what else is asked of these nodes is asked of the rows joined.
                 large = scratch.keep(rest.join(listed(big), "key"))
-                done += [big, large]
                 rest = rest.join(listed(big.select("key")), "key", "left_anti")
-                packed = large.where("dense").select(F.col("key").alias("grp"), "node", "m")
+                closed = big.where("dense").select("key")
+                if classes is not None:
+                    most = large.groupBy("key", "m", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key", "m").agg(F.max("k").alias("k"))
+                    closed = closed.union(most.where(F.col("k") >= DENSE * F.col("m")).select("key")).distinct()
+                closed = scratch.keep(closed)
+                done += [big, large, closed]
+                packed = large.join(listed(closed), "key", "left_semi").select(F.col("key").alias("grp"), "node", "m")
                 dense = packed if dense is None else dense.union(packed)
+                branched = large.join(listed(closed), "key", "left_anti")
             rest = rest.join(sizes.where(F.col("m") <= leaf).select("key"), "key", "left_semi")
             small = rest if small is None else small.union(rest)
-            if not n_big or large.where("not dense").isEmpty():
+            if not n_big or branched.isEmpty():
                 break
-            level = large.where("not dense").join(tokens, "node").select("key", "node", "sig", "m").mapInArrow(deeper, at_level)
+            level = branched.join(tokens, "node").select("key", "node", "sig", "m").mapInArrow(deeper, at_level)
         leaves = scratch.keep(by_key(small.join(tokens, "node"), "key").mapInArrow(partners, "key long, node long, label long"))
         dense = scratch.keep(dense.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int"))) if dense is not None else None
         scratch.drop(*done)

@@ -126,3 +126,28 @@ def test_query_against_brute_force(spark):
     got = N.op2_near_dedup(spark, folder)
     assert got.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 4)
+
+
+def test_rows_of_large_nodes_meet_their_nodes_once(docs, words, monkeypatch):
+    """Inner joins by the key of a tree node make as many rows as the large nodes have, in the later trees too."""
+    base = words(3, 150, 5000)
+    rows = [(k, near(base, k, 4)) for k in range(40)] + [(100, base + " " + words(4, 30, 5000))]
+    made, kept, kind = [], [], type(docs([]))
+    join, keep = kind.join, N.Scratch.keep
+
+    def joined(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "key" and how is None:
+            made.append(out.count())
+        return out
+
+    def counted(self, df):
+        out = keep(self, df)
+        if {"key", "node", "dense"} <= set(df.columns):
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "join", joined)
+    monkeypatch.setattr(N.Scratch, "keep", counted)
+    check(docs, rows, leaf=8, block=16)
+    assert len(kept) > 2 and sum(made) == sum(kept)
