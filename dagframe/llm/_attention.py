@@ -113,7 +113,7 @@ def _shares(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def within(p: dict, prev: np.ndarray, nxt: np.ndarray) -> np.ndarray:
     """Natural log probability of each subword ``nxt`` given its class and the subword ``prev`` before it."""
     out = p["within"][nxt].astype(float)
-    at = np.flatnonzero(out < 0) if len(p.get("pairs", ())) else []
+    at = np.flatnonzero(out < 0) if "pairs" in p else []
     if len(at):
         a, b = prev[at].astype(np.int64), nxt[at].astype(np.int64)
         n = _looked_up(p["pairs"], p["pair_n"], a * len(p["class_of"]) + b)
@@ -123,11 +123,34 @@ def within(p: dict, prev: np.ndarray, nxt: np.ndarray) -> np.ndarray:
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted))
     each, back = np.unique(wanted, return_inverse=True)
     at = np.minimum(np.searchsorted(keys, each), len(keys) - 1)
     return np.where(keys[at] == each, values[at], 0)[back]
 
 
+def sorted_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], values[order].astype(float)
+
+
+def untold(p: dict, prev: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(place, key)`` of what ``within`` found no count for: pairs, and sums over a class, whose keys are ``-1 - key``."""
+    at = np.flatnonzero(p["within"][nxt] < 0)
+    a, b = prev[at].astype(np.int64), nxt[at].astype(np.int64)
+    pair, head = a * len(p["class_of"]) + b, a * CLASSES + p["class_of"][b]
+    x, y = (_looked_up(p[k], p[n], keys) == 0 for k, n, keys in (("pairs", "pair_n", pair), ("heads", "head_n", head)))
+    return np.concatenate([at[x], at[y]]), np.concatenate([pair[x], -1 - head[y]])
+
+
+def told_later(p: dict, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the counts ``n`` of keys as ``untold`` names them add to the natural log probability that ``within`` gave without them."""
+    pair = keys >= 0
+    weight = SMOOTHING * np.exp(np.where(pair, p["within"][np.where(pair, keys, 0) % len(p["class_of"])], 0).astype(float))
+    return np.where(pair, 1, -1) * np.log1p(n / weight)
+
+
 def pair_tables(class_of: np.ndarray, keys: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     """The tables that ``within`` reads, from pairs ``prev * size + next`` and their counts; pairs left out are smoothed over."""
     size = len(class_of)

@@ -8,7 +8,7 @@ to groups of about as many subwords; each group trains a copy of the weights in
 the copies are averaged by the blocks they saw. Groups follow from the documents alone and sums are
 of whole numbers, so how the table is split doesn't change the weights, and the driver holds one set
 of them. Scoring reads whole texts. Counts of the commonest words go to all tasks (``MAX_WORDS`` at
-most); those of the other words are joined.
+most), as do those of the commonest pairs (``MAX_PAIRS``); those of the others are joined.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _attention as A
-from ._shared import Scratch
+from ._shared import Membership, Scratch
 from ._words import LOWER, SPACED, chunks, hashes, longs, spans
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words whose counts every task holds.
 MAX_WORDS = 300_000
-#: The commonest pairs of subwords, by which the model tells subwords of a class apart; the others are smoothed over.
+#: Pairs of subwords, by which the model tells subwords of a class apart, and sums of them whose counts every task holds, the commonest; the others are joined.
 MAX_PAIRS = 400_000
 #: Training documents go to 16 parts by hash; a round takes those up to its mark and trains at its rate.
 ROUNDS = ((1, 0.01), (6, 0.006), (16, 0.002))
@@ -279,17 +279,38 @@ def train_weights(p: dict, train: DataFrame, total: int, ranks) -> dict:
 
 
 def train_model(train: DataFrame, pairs: DataFrame, counts: np.ndarray, ranks, scratch: Scratch, max_pairs: int = MAX_PAIRS) -> dict:
-    """The model's parameters; without training documents, untrained ones with uniform classes."""
-    p = A.initial(*embedding(pairs, counts, scratch))
+    """The model's parameters, with counts of the commonest pairs; without training documents, untrained ones with uniform classes."""
+    return _trained(train, pairs, counts, ranks, scratch, max_pairs)[0]
+
+
+def _trained(train: DataFrame, pairs: DataFrame, counts: np.ndarray, ranks, scratch: Scratch, max_pairs: int) -> tuple[dict, DataFrame | None]:
+    """The parameters, and ``key, n`` of what their tables leave out, if anything: pairs and sums of pairs, with keys as ``A.untold`` names them."""
+    rest, p = None, A.initial(*embedding(pairs, counts, scratch))
     p["within"] = A.within_class(counts, p["class_of"])
     if not counts.any():
-        return p
+        return p, None
     several = np.flatnonzero(np.bincount(p["class_of"], minlength=A.CLASSES) > 1)
     classes = train.sparkSession.createDataFrame([(int(k),) for k in np.flatnonzero(np.isin(p["class_of"], several) & (counts > 0))], "next int")
     told = pairs.withColumn("next", F.pmod("key", F.lit(len(counts))).cast("int")).join(F.broadcast(classes), "next", "left_semi").select("key", "n")
-    got = commonest(told, max_pairs)[0].toArrow()
-    p |= A.pair_tables(p["class_of"], got["key"].to_numpy(), got["n"].to_numpy())
-    return train_weights(p, train, int(counts.sum()), ranks)
+    size, class_of = len(counts), p["class_of"]
+
+    def classed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(key // size * A.CLASSES + class_of[key % size]), b.column(1)], ["key", "n"])
+
+    told = scratch.keep(told)
+    heads = scratch.keep(told.mapInArrow(classed, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    tables = []
+    for kind, all_of in enumerate((told, heads)):
+        common, least = commonest(all_of, max_pairs)
+        got = common.toArrow()
+        tables += A.sorted_table(got["key"].to_numpy(), got["n"].to_numpy())
+        if least != 1:
+            others = all_of.select((-1 - F.col("key") if kind else F.col("key")).alias("key"), "n").where(F.col("n") < least if least else F.lit(True))
+            rest = others if rest is None else rest.union(others)
+    p |= dict(zip(("pairs", "pair_n", "heads", "head_n"), tables))
+    return train_weights(p, train, int(counts.sum()), ranks), rest
 
 
 def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabulary: str = VOCABULARY, max_words: int = MAX_WORDS, max_pairs: int = MAX_PAIRS) -> DataFrame:
@@ -314,7 +335,10 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", v
     ends = int(counts[-1])
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, n_distinct = n_all + ends, n_distinct + (ends > 0)
-    model = spark.sparkContext.broadcast(train_model(train, pairs, counts, ranks, scratch, max_pairs))
+    weights, rest_pairs = _trained(train, pairs, counts, ranks, scratch, max_pairs)
+    model = spark.sparkContext.broadcast(weights)
+    # Most pairs that the model's tables don't tell were never seen; the filter spares them the join.
+    may = Membership(rest_pairs.select("key")) if rest_pairs is not None else None
 
     common, least = commonest(words, max_words)
     if least is None:
@@ -338,18 +362,27 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", v
                 n_known = np.concatenate([[0], np.cumsum(have[index])])
                 other = np.concatenate([[0], np.cumsum(~have[index])])
                 rest = distinct[index[~have[index]]]
-                score = np.zeros(hi - lo)
+                score, of, untold = np.zeros(hi - lo), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for x, y, text in A.block_parts(ids, bounds, sub.end):
                     score += np.bincount(text, A.log_probs(p, x, y).sum(axis=1), minlength=hi - lo)
+                    if may:
+                        some = y >= 0
+                        at, pair = A.untold(p, x[:, A.CONTEXT :][some], y[some])
+                        keep = may.maybe(pair)
+                        of.append(text[np.nonzero(some)[0][at[keep]]])
+                        untold.append(pair[keep])
+                of = np.concatenate(of)
+                untold = np.concatenate(untold)[np.argsort(of, kind="stable")]
+                untold_at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=hi - lo))])
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo), pa.array(np.diff(first) + 1), pa.array(np.diff(n_known[first])), pa.array(np.diff(sums[first])), pa.array(score / math.log(10)),
-                        pa.ListArray.from_arrays(pa.array(other[first].astype(np.int32)), longs(rest)),
+                        pa.ListArray.from_arrays(pa.array(other[first].astype(np.int32)), longs(rest)), pa.ListArray.from_arrays(pa.array(untold_at.astype(np.int32)), pa.array(untold)),
                     ],
-                    ["id", "n_tokens", "n_known", "common", "score", "rest"],
+                    ["id", "n_tokens", "n_known", "common", "score", "rest", "untold"],
                 )
 
-    rows = cut.select("id", "ids").mapInArrow(scored, "id long, n_tokens long, n_known long, common double, score double, rest array<long>")
+    rows = cut.select("id", "ids").mapInArrow(scored, "id long, n_tokens long, n_known long, common double, score double, rest array<long>, untold array<long>")
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()))
     others = words.where(F.col("n") < least) if least is not None else words
     rare = rows.select("row", F.explode("rest").alias("key")).join(others, "key")
@@ -357,10 +390,22 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", v
     unit = math.log10(n_all + n_distinct + 1)
     known = F.coalesce("more_known", F.lit(0)) + F.col("n_known") + (1 if ends else 0)
     base = F.col("common") + F.coalesce("more", F.lit(0.0)) + math.log10(ends + 1) - F.col("n_tokens") * unit
+    score = F.col("score")
+    rows_out = rows.join(rare, "row", "left")
+    if may:
+
+        def deltas(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                add = A.told_later(model.value, b.column(0).to_numpy(), b.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(add / math.log(10))], ["key", "add"])
+
+        later = rows.select("row", F.explode("untold").alias("key")).join(rest_pairs.mapInArrow(deltas, "key long, add double"), "key")
+        rows_out = rows_out.join(later.groupBy("row").agg(F.sum("add").alias("add")), "row", "left")
+        score = score + F.coalesce("add", F.lit(0.0))
     scratch.drop(cut)
-    return rows.join(rare, "row", "left").select(
+    return rows_out.select(
         "id", held_out(F.col("id")).alias("held_out"), "n_tokens", known.cast("long").alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
     )
 
 

@@ -183,3 +183,11 @@ def test_window_and_classes():
     z[0, 0] = (z[0, 0] + 200) % 499
     assert A.CONTEXT >= 32 and not np.array_equal(a[0, 0], A.log_probs(p, z, y[5:6])[0, 0])
     assert len(set(p["class_of"].tolist())) > 100
+
+
+@pytest.mark.parametrize("max_pairs", [0, 60])
+def test_pairs_beyond_the_table_count_too(docs, words, max_pairs):
+    table = docs([(k, words(k, 30 + k, 300)) for k in range(40)] + [(None, "w1 w2"), (3, "never seen w7"), (50, None)])
+    want, got = (sorted((repr(r["id"]), r["n_tokens"], r["score"]) for r in lm_scores(table, max_pairs=n).collect()) for n in (10**6, max_pairs))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want], rtol=1e-6)
