@@ -63,51 +63,89 @@ def initial(embedding: np.ndarray, class_of: np.ndarray, seed: int = 0) -> dict[
     p |= {"Wg": (rng.standard_normal((d, GROUPS)) / np.sqrt(d)).astype(np.float32), "Wm": (rng.standard_normal((GROUPS, d, MEMBERS)) / np.sqrt(d)).astype(np.float32)}
     empty = np.where(np.bincount(class_of, minlength=CLASSES) > 0, 0, -1e4).astype(np.float32).reshape(GROUPS, MEMBERS)
     p |= {"bg": empty.max(axis=1), "bm": empty}
-    # The last row stands for padding: id -1.
-    return p | {"E": np.vstack([embedding, np.zeros((1, d))]).astype(np.float32), "class_of": class_of.astype(np.int32)}
-
-
-def _forward(p: dict, ids: np.ndarray, safe: bool = False):
-    """What ``_gradients`` needs, to what the classes are read from. Exponentials are taken as they are, or less their maximum if ``safe``."""
-    n, d = len(ids), p["E"].shape[1]
-    e = p["E"].take(ids, axis=0)
-    flat, eq = e.reshape(-1, d), e[:, CONTEXT:].reshape(-1, d)
-    kv = np.ones((n, _LENGTH, 2 * d + 1), e.dtype)
-    kv[:, :, : 2 * d] = (flat @ np.hstack([p["Wk"], p["Wv"]])).reshape(n, _LENGTH, 2 * d)
-    qh = eq @ np.hstack([p["Wq"] * p["Wq"].dtype.type(1 / np.sqrt(d)), p["Wh"]])
-    q = qh[:, :d].reshape(n, SPAN, d)
-    a = q @ kv[:, :, :d].transpose(0, 2, 1)
-    a += np.where(_FUTURE, _GONE, p["R"][_REL])
-    gap = ids < 0
-    holes = np.flatnonzero(gap.any(axis=1))
-    a[holes] += np.where(gap[holes], _GONE, np.float32(0))[:, None, :]
-    if safe:
-        a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    # The column of ones behind the values adds the weights up.
-    o = a @ kv[:, :, d:]
-    total = o[:, :, d:].reshape(-1, 1)
-    o = o[:, :, :d].reshape(-1, d) / total
-    return e, eq, q, kv, a, total, o, np.tanh(o @ p["Wo"] + qh[:, d:] + p["b"])
+    # The last row stands for padding: id -1. Keys have a column of ones behind them.
+    e, ones = np.vstack([embedding, np.zeros((1, d))]).astype(np.float32), (np.arange(len(embedding) + 1) < len(embedding))[:, None]
+    return p | {"E": e, "keys": np.hstack([e, ones]).astype(np.float32), "class_of": class_of.astype(np.int32)}
+
+
+class Room:
+    """Arrays that batch after batch is worked out in: new ones are filled with zeros page by page, which takes longer than to reckon with them."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
 
+    def __call__(self, name: str, dtype, *shape: int) -> np.ndarray:
+        n = int(np.prod(shape))
+        if name not in self.held or self.held[name].size < n or self.held[name].dtype != dtype:
+            self.held[name] = np.empty(n, dtype)
+        return self.held[name][:n].reshape(shape)
 
-def _choices(p: dict, h: np.ndarray, t: np.ndarray):
-    """Logits of the groups, by row, and of the members of each target's group, with rows put in order of the group; and that order, its cuts and ``h`` in it."""
-    group = (p["class_of"][t] // MEMBERS).astype(np.uint8)
+
+def _forward(p: dict, ids: np.ndarray, room: Room, safe: bool = False):
+    """What ``_gradients`` needs, to what the classes are read from, with a column of ones. Exponentials are taken as they are, or less their maximum if ``safe``.
+
+    The embedding stays as it is, so that keys are the embeddings themselves, which queries meet through
+    ``Wq Wk'``, and values pass through ``Wv Wo`` once they are averaged: fewer and smaller products, of the same value.
+    """
+    n, d, keys = len(ids), WIDTH, p["keys"]
+    kind, rows = keys.dtype, n * SPAN
+    e = keys.take(ids, axis=0, out=room("e", kind, n, _LENGTH, d + 1), mode="wrap")
+    read = room("read", kind, rows, 2 * d + 1)
+    read.reshape(n, SPAN, -1)[:, :, d:] = e[:, CONTEXT:]
+    q = np.matmul(read[:, d : 2 * d], p["Wq"] @ p["Wk"].T * kind.type(1 / np.sqrt(d)), out=room("q", kind, rows, d))
+    a = np.matmul(q.reshape(n, SPAN, d), e[:, :, :d].transpose(0, 2, 1), out=room("a", kind, n, SPAN, _LENGTH))
+    if safe:
+        a += np.where(_FUTURE, _GONE, p["R"][_REL])
+        a += np.where(ids < 0, _GONE, np.float32(0))[:, None, :]
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+    else:
+        np.exp(a, out=a)
+        a *= np.where(_FUTURE, 0, np.exp(p["R"])[_REL])
+    # The column of ones behind the keys adds the weights up; it is 0 where padded.
+    o = np.matmul(a, e, out=room("o", kind, n, SPAN, d + 1)).reshape(rows, d + 1)
+    total = o[:, d:].copy()
+    if not safe and not (total.min() > 1e-30 and total.max() < 1e30):
+        return _forward(p, ids, room, True)
+    np.divide(o[:, :d], total, out=read[:, :d])
+    # tanh(x) as 1 - 2 / (exp(2 x) + 1), and 1 in a column more.
+    w = np.zeros((2 * d + 1, d + 1), kind)
+    w[:d, :d], w[d : 2 * d, :d], w[2 * d, :d], w[2 * d, d] = p["Wv"] @ p["Wo"], p["Wh"], p["b"], 200
+    w *= 2
+    h = np.matmul(read, w, out=room("h", kind, rows, d + 1))
+    np.exp(h, out=h)
+    h += 1
+    np.divide(-2, h, out=h)
+    h += 1
+    return e, read, a, total, h
+
+
+def _choices(p: dict, h: np.ndarray, c: np.ndarray, room: Room):
+    """Logits of the groups, by row, and of the members of the group of each target class ``c``, with rows put in order of the group; that order, each row's place in it, its cuts, ``h`` in it, and the weights with their constants."""
+    kind, rows = h.dtype, len(c)
+    group = (c // MEMBERS).astype(np.uint8)
     order = np.argsort(group, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(rows)
     cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
-    ordered, members = h[order], np.empty((len(t), MEMBERS), h.dtype)
+    wg, wm = np.vstack([p["Wg"], p["bg"]]), np.concatenate([p["Wm"], p["bm"][:, None, :]], axis=1)
+    ordered = h.take(order, axis=0, out=room("ordered", kind, *h.shape), mode="clip")
+    members = room("members", kind, rows, MEMBERS)
     for g in range(GROUPS):
-        np.matmul(ordered[cuts[g] : cuts[g + 1]], p["Wm"][g], out=members[cuts[g] : cuts[g + 1]])
-        members[cuts[g] : cuts[g + 1]] += p["bm"][g]
-    return h @ p["Wg"] + p["bg"], members, order, cuts, ordered
+        np.matmul(ordered[cuts[g] : cuts[g + 1]], wm[g], out=members[cuts[g] : cuts[g + 1]])
+    return np.matmul(h, wg, out=room("groups", kind, rows, GROUPS)), members, order, place, cuts, ordered, wg, wm
 
 
-def _shares(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(exp(z), its row sums)``, up to a factor for each row."""
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    return z, z.sum(axis=1, keepdims=True)
+def _shares(z: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | int]:
+    """``(exp(z - high), its row sums, high)``; ``high`` is each row's maximum where exponentials as they are would be too large or small."""
+    ones = np.ones(z.shape[1], z.dtype)
+    np.exp(z, out=out)
+    sums = out @ ones
+    if sums.min() > 1e-30 and sums.max() < 1e30:
+        return out, sums, 0
+    high = z.max(axis=1)
+    np.exp(np.subtract(z, high[:, None], out=out), out=out)
+    return out, out @ ones, high
 
 
 def within(p: dict, prev: np.ndarray, nxt: np.ndarray) -> np.ndarray:
@@ -161,73 +199,95 @@ def pair_tables(class_of: np.ndarray, keys: np.ndarray, n: np.ndarray) -> dict[s
     return {"pairs": keys, "pair_n": n, "heads": heads, "head_n": np.bincount(back, n, minlength=len(heads))}
 
 
-def log_probs(p: dict, inputs: np.ndarray, targets: np.ndarray, batch: int = 128) -> np.ndarray:
-    """Natural log probability of each target given what precedes it; 0 where padded."""
-    out = np.zeros(targets.shape)
+class Memo:
+    """``work(keys, places)`` of many keys, each worked out once, but for those that another has taken the slot of; ``places``: where each is first met."""
+
+    def __init__(self, work, bits: int = 20):
+        self.work, self.shift = work, np.uint64(64 - bits)
+        # A slot without a value holds a key that belongs to another.
+        self.keys, self.values = np.zeros(1 << bits, np.int64), np.zeros(1 << bits)
+        self.keys[0] = 1
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+        out = self.values.take(slot)
+        at = np.flatnonzero(self.keys.take(slot) != keys)
+        if len(at):
+            each, first, back = np.unique(keys[at], return_index=True, return_inverse=True)
+            values, slot = self.work(each, at[first]), slot[at[first]]
+            out[at] = values[back]
+            # Of keys that share a slot, one leaves itself and its value there.
+            slot, one = np.unique(slot, return_index=True)
+            self.keys[slot], self.values[slot] = each[one], values[one]
+        return out
+
+
+def within_memo(p: dict) -> Memo:
+    """``within`` of pairs ``prev * size + next``."""
+    size = len(p["class_of"])
+    return Memo(lambda pair, _: within(p, pair // size, pair % size))
+
+
+def log_probs(p: dict, inputs: np.ndarray, targets: np.ndarray, batch: int = 64, room: Room | None = None, told: Memo | None = None) -> np.ndarray:
+    """Natural log probability of each target given what precedes it; 0 where padded. ``told``: of ``within_memo``."""
+    out, room, told = np.zeros(targets.shape), room or Room(), told or within_memo(p)
     for k in range(0, len(inputs), batch):
-        ids, t = inputs[k : k + batch], targets[k : k + batch].ravel()
+        t = targets[k : k + batch].ravel()
         with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-            h = _forward(p, ids)[-1]
-        if not np.isfinite(h).all():
-            h = _forward(p, ids, safe=True)[-1]
-        groups, members, order, _, _ = _choices(p, h, t)
-        c = p["class_of"][t]
-        got = _log_share(groups, c // MEMBERS)
-        got[order] += _log_share(members, c[order] % MEMBERS)
+            h = _forward(p, inputs[k : k + batch], room)[-1]
+            c = p["class_of"].take(t, mode="wrap")
+            groups, members, order, place, *_ = _choices(p, h, c, room)
+            got = _log_share(members, c[order] % MEMBERS, room).take(place)
+            got += _log_share(groups, c // MEMBERS, room)
         out[k : k + batch] = np.where(t >= 0, got, 0).reshape(-1, SPAN)
     some = targets >= 0
-    out[some] += within(p, inputs[:, CONTEXT:][some], targets[some])
+    out[some] += told(inputs[:, CONTEXT:][some].astype(np.int64) * len(p["class_of"]) + targets[some])
     return out
 
 
-def _log_share(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    at = np.arange(len(own)), own
-    high = z.max(axis=1)
-    mine = z[at] - high
-    z -= high[:, None]
-    return mine - np.log(np.exp(z, out=z).sum(axis=1))
+def _log_share(z: np.ndarray, own: np.ndarray, room: Room) -> np.ndarray:
+    _, sums, high = _shares(z, room("shares", z.dtype, *z.shape))
+    return z.ravel().take(np.arange(len(own)) * z.shape[1] + own) - high - np.log(sums)
 
 
-def _gradients(p: dict, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
+def _gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
+    room, d, n, t = room or Room(), WIDTH, len(inputs), targets.ravel()
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        e, eq, q, kv, a, total, o, h = _forward(p, inputs)
-    if not np.isfinite(h).all():
-        e, eq, q, kv, a, total, o, h = _forward(p, inputs, safe=True)
-    t, d, n = targets.ravel(), e.shape[2], len(inputs)
-    ones, c, row = np.ones((len(t), 1), e.dtype), p["class_of"][t], np.arange(len(t))
-    weight = np.where(t >= 0, e.dtype.type(1 / max(1, (t >= 0).sum())), e.dtype.type(0))
-    groups, members, order, cuts, ordered = _choices(p, h, t)
-    zg, sums = _shares(groups)
-    zg *= weight[:, None] / sums
-    zg[row, c // MEMBERS] -= weight
-    zm, sums = _shares(members)
-    zm *= weight[order, None] / sums
-    zm[row, c[order] % MEMBERS] -= weight[order]
-    g = {"Wm": np.zeros_like(p["Wm"]), "bm": np.zeros_like(p["bm"])}
-    gg = np.hstack([h, ones]).T @ zg
-    g["Wg"], g["bg"] = gg[:d], gg[d]
-    dh, part = zg @ p["Wg"].T, np.empty_like(h)
+        e, read, a, total, h = _forward(p, inputs, room)
+        c, kind, row = p["class_of"].take(t, mode="wrap"), h.dtype, np.arange(len(t))
+        groups, members, order, place, cuts, ordered, wg, wm = _choices(p, h, c, room)
+        zg, sums_g, _ = _shares(groups, room("zg", kind, *groups.shape))
+        zm, sums_m, _ = _shares(members, room("zm", kind, *members.shape))
+    weight = np.where(t >= 0, kind.type(1 / max(1, (t >= 0).sum())), kind.type(0))
+    zg *= (weight / sums_g)[:, None]
+    zg.ravel()[row * GROUPS + c // MEMBERS] -= weight
+    weight = weight.take(order)
+    zm *= (weight / sums_m)[:, None]
+    zm.ravel()[row * MEMBERS + c.take(order) % MEMBERS] -= weight
+    g, part, gm = {}, room("part", kind, *h.shape), np.zeros_like(wm)
     for k in range(GROUPS):
         own = slice(cuts[k], cuts[k + 1])
-        g["Wm"][k], g["bm"][k] = ordered[own].T @ zm[own], zm[own].sum(axis=0)
-        np.matmul(zm[own], p["Wm"][k].T, out=part[own])
-    dh[order] += part
-    dh *= 1 - h * h
-    go = np.hstack([o, eq, ones]).T @ dh
-    g["Wo"], g["Wh"], g["b"] = go[:d], go[d : 2 * d], go[2 * d]
-    do = dh @ p["Wo"].T
+        np.matmul(ordered[own].T, zm[own], out=gm[k])
+        np.matmul(zm[own], wm[k].T, out=part[own])
+    gg = h.T @ zg
+    g["Wg"], g["bg"], g["Wm"], g["bm"] = gg[:d], gg[d], gm[:, :d], gm[:, d]
+    dh = np.matmul(zg, wg.T, out=room("dh", kind, *h.shape))
+    dh += part.take(place, axis=0, out=room("placed", kind, *h.shape), mode="clip")
+    slope = np.multiply(h, h, out=part)
+    dh *= np.subtract(1, slope, out=slope)
+    gr = read.T @ dh[:, :d]
+    g["Wv"], g["Wo"], g["Wh"], g["b"] = gr[:d] @ p["Wo"].T, p["Wv"].T @ gr[:d], gr[d : 2 * d], gr[2 * d]
+    do = room("do", kind, len(t), d + 1)
+    np.matmul(dh[:, :d], (p["Wv"] @ p["Wo"]).T, out=do[:, :d])
     # Through the softmax: a column more takes each row's mean off.
-    do = np.hstack([do, -(do * o).sum(axis=1, keepdims=True)]) / total
-    do = do.reshape(n, SPAN, d + 1)
-    dkv = np.empty((n, _LENGTH, 2 * d), e.dtype)
-    np.matmul(a.transpose(0, 2, 1), do[:, :, :d], out=dkv[:, :, d:])
-    a *= do @ kv[:, :, d:].transpose(0, 2, 1)
-    near = np.ones(n, e.dtype) @ a.reshape(n, -1)
+    np.negative(np.einsum("ij,ij->i", do[:, :d], read[:, :d]), out=do[:, d])
+    do /= total
+    a *= np.matmul(do.reshape(n, SPAN, d + 1), e.transpose(0, 2, 1), out=room("da", kind, *a.shape))
+    near = np.ones(n, kind) @ a.reshape(n, -1)
     g["R"] = np.bincount(np.where(_FUTURE, 0, _REL).ravel(), np.where(_FUTURE.ravel(), 0, near), minlength=_LENGTH)
-    np.matmul(a.transpose(0, 2, 1), q, out=dkv[:, :, :d])
-    g["Wq"] = eq.T @ (a @ kv[:, :, :d]).reshape(-1, d) * e.dtype.type(1 / np.sqrt(d))
-    gkv = e.reshape(-1, d).T @ dkv.reshape(-1, 2 * d)
-    g["Wk"], g["Wv"] = gkv[:, :d], gkv[:, d:]
+    met = np.matmul(a, e[:, :, :d], out=room("met", kind, n, SPAN, d)).reshape(-1, d)
+    gq = read[:, d : 2 * d].T @ met * kind.type(1 / np.sqrt(d))
+    g["Wq"], g["Wk"] = gq @ p["Wk"], gq.T @ p["Wq"]
     return g
 
 
@@ -239,6 +299,7 @@ class Trainer:
         self.p, self.m, self.s = restore(p, self.w), np.zeros_like(self.w), np.zeros_like(self.w)
         self.rate, self.batch, self.buffer, self.rng = rate, batch, buffer, np.random.default_rng(seed)
         self.steps = self.seen = self.held = 0
+        self.room = Room()
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, inputs: np.ndarray, targets: np.ndarray) -> None:
@@ -262,7 +323,7 @@ class Trainer:
         order = self.rng.permutation(len(inputs))
         for k in range(0, len(order), self.batch):
             self.steps += 1
-            g = _gradients(self.p, inputs[order[k : k + self.batch]], targets[order[k : k + self.batch]])
+            g = _gradients(self.p, inputs[order[k : k + self.batch]], targets[order[k : k + self.batch]], self.room)
             g = np.concatenate([g[n].ravel() for n in NAMES]).astype(self.w.dtype)
             self.m += 0.1 * (g - self.m)
             self.s += 0.01 * (g * g - self.s)

@@ -38,6 +38,8 @@ ROUNDS = ((1, 0.01), (6, 0.006), (16, 0.002))
 GROUP = (1 << 19, 1 << 23)
 #: Subwords that are looked at together, in whole texts.
 CHUNK = 1 << 19
+#: Subwords of words that are held so as to cut each word once; beyond, they are forgotten.
+HELD = 1 << 21
 #: Fixed value: the pattern that this vocabulary's tokenizer cuts text by.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space beyond ASCII, in UTF-8, at which the tokenizer looks across words.
@@ -70,6 +72,7 @@ class Subwords:
             self.lengths[rank] = len(piece)
             self.begins[rank] = piece[:1] == b" "
         self.dtype = np.uint16 if self.end < 1 << 16 else np.int32
+        self._forget()
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)``: the ids of all words, and where each word's begin."""
@@ -89,19 +92,36 @@ class Subwords:
         for lo, hi, buf, off in chunks(texts):
             buf = LOWER[buf]
             starts, ends, bounds = spans(buf, off, SPACED)
-            _, first, index = np.unique(hashes(buf, starts, ends), return_index=True, return_inverse=True)
-            raw = buf.tobytes()
-            ids, cuts = self.ids([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-            n = np.diff(cuts)[index]
+            index = self._known(buf, starts, ends)
+            n = np.diff(self.cuts)[index]
             total = np.concatenate([[0], np.cumsum(n)])
-            at = np.arange(total[-1]) + np.repeat(cuts[:-1][index] - total[:-1], n)
+            at = np.arange(total[-1]) + np.repeat(self.cuts[:-1][index] - total[:-1], n)
             out_bounds = total[bounds] + np.arange(len(bounds))
             out = np.full(out_bounds[-1], self.end, self.dtype)
             place = np.ones(len(out), bool)
             place[out_bounds[1:] - 1] = False
-            out[place] = ids[at]
+            out[place] = self.held[at]
             yield lo, hi, out, out_bounds
 
+    def _known(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of words in ``held`` and ``cuts``, where they are put when they are first met."""
+        if len(self.held) > HELD:
+            self._forget()
+        raw = buf.tobytes()
+
+        def cut(_, places):
+            ids, cuts = self.ids([raw[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist())])
+            number = np.arange(len(places)) + len(self.cuts) - 1
+            self.cuts = np.concatenate([self.cuts, cuts[1:] + len(self.held)])
+            self.held = np.concatenate([self.held, ids.astype(self.dtype)])
+            return number.astype(float)
+
+        self.number.work = cut
+        return self.number(hashes(buf, starts, ends).view(np.int64)).astype(np.int64)
+
+    def _forget(self):
+        self.held, self.cuts, self.number = np.zeros(0, self.dtype), np.zeros(1, np.int64), A.Memo(None)
+
 
 def subword_table(docs: DataFrame, ranks) -> DataFrame:
     """``id, hash, ids`` for each row of ``docs(id, text)``; ``ids``: the text's subword ids as bytes."""
@@ -350,21 +370,26 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", v
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, known_n), p, sub = table.value, model.value, Subwords(ranks.value)
+
+        def counted(key, _):
+            key = key.view(np.uint64)
+            at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+            return np.where(known[at] == key, known_n[at], 0).astype(float) if len(known) else np.zeros(len(key))
+
+        count, room, told = A.Memo(counted), A.Room(), A.within_memo(p)
         for b in batches:
             for lo, hi, ids, bounds in _read(b.column(1), sub):
                 place, key = _words(ids, sub)
-                distinct, index = np.unique(key, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
-                have = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
-                c = np.where(have, known_n[at], 0) if len(known) else np.zeros(len(distinct), np.int64)
+                c = count(key.view(np.int64))
+                have = c > 0
                 first = np.searchsorted(place, bounds)
-                sums = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0)[index])])
-                n_known = np.concatenate([[0], np.cumsum(have[index])])
-                other = np.concatenate([[0], np.cumsum(~have[index])])
-                rest = distinct[index[~have[index]]]
+                sums = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0))])
+                n_known = np.concatenate([[0], np.cumsum(have)])
+                other = np.concatenate([[0], np.cumsum(~have)])
+                rest = key[~have]
                 score, of, untold = np.zeros(hi - lo), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for x, y, text in A.block_parts(ids, bounds, sub.end):
-                    score += np.bincount(text, A.log_probs(p, x, y).sum(axis=1), minlength=hi - lo)
+                    score += np.bincount(text, A.log_probs(p, x, y, room=room, told=told).sum(axis=1), minlength=hi - lo)
                     if may:
                         some = y >= 0
                         at, pair = A.untold(p, x[:, A.CONTEXT :][some], y[some])

@@ -191,3 +191,37 @@ def test_pairs_beyond_the_table_count_too(docs, words, max_pairs):
     want, got = (sorted((repr(r["id"]), r["n_tokens"], r["score"]) for r in lm_scores(table, max_pairs=n).collect()) for n in (10**6, max_pairs))
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert np.allclose([r[2] for r in got], [r[2] for r in want], rtol=1e-6)
+
+
+def test_words_of_earlier_chunks_are_not_cut_again(monkeypatch):
+    import pyarrow as pa
+
+    sub, cut, plain = Subwords(load_ranks(VOCABULARY)), [], Subwords.ids
+    monkeypatch.setattr(Subwords, "ids", lambda self, words: cut.extend(words) or plain(self, words))
+    line = " ".join(f"w{k} été{k}" for k in range(3000)) + " "
+    texts = [line * 60, "other w1", line * 60, None, "w2  other new"]
+    got = [ids[a:b].tolist() for _, _, ids, bounds in sub.texts(pa.array(texts)) for a, b in zip(bounds, bounds[1:])]
+    # Some share a slot with another word and are cut again.
+    assert len(set(cut)) == 6002 and len(cut) < 6100
+    for text, ids in zip(texts, got):
+        assert ids == [*plain(sub, [w.encode() for w in (text or "").split()])[0].tolist(), sub.end]
+
+
+def test_memo_with_few_slots():
+    keys = np.random.default_rng(0).integers(-500, 500, 4000)
+    for bits in (1, 4, 12):
+        memo = A.Memo(lambda k, _: k * 3.0, bits)
+        assert all(np.array_equal(memo(part), part * 3.0) for part in np.split(keys, 10))
+
+
+def test_large_logits():
+    p, x, y, _ = model()
+    p = p | {k: p[k] * np.float32(8) for k in ("Wq", "Wk", "Wg", "Wm")}
+    room = A.Room()
+    got, g = A.log_probs(p, x[:2], y[:2], room=room), A._gradients(p, x[:2], y[:2], room)
+    assert np.isfinite(got).all() and all(np.isfinite(v).all() for v in g.values())
+    with np.errstate(all="ignore"):
+        assert A._forward(p, x[:2], room)[2].max() <= 1
+    ids = [*y[y >= 0][:64].tolist()]
+    want = [plain_log_prob(p, ids, k, x[0, A.CONTEXT]) for k in range(64)]
+    assert np.allclose(got.ravel()[:64], want, rtol=1e-2, atol=1e-2)
