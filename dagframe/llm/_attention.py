@@ -10,6 +10,7 @@ blocks is one masked attention.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ SMOOTHING = 5.0
 _LENGTH = CONTEXT + SPAN
 _REL = np.clip(CONTEXT + np.arange(SPAN)[:, None] - np.arange(_LENGTH)[None, :], -1, _LENGTH - 1)
 _FUTURE = _REL < 0
+#: Where each weight of a block finds its distance; one beyond all for keys to come.
+_FAR = np.where(_FUTURE, _LENGTH, _REL)
 _GONE = np.float32(-1e9)
 NAMES = ("Wq", "Wk", "Wv", "Wo", "Wh", "b", "Wg", "bg", "Wm", "bm", "R")
 
@@ -73,12 +76,17 @@ class Room:
 
     def __init__(self):
         self.held: dict[str, np.ndarray] = {}
+        self.views: dict[tuple, np.ndarray] = {}
 
     def __call__(self, name: str, dtype, *shape: int) -> np.ndarray:
-        n = int(np.prod(shape))
-        if name not in self.held or self.held[name].size < n or self.held[name].dtype != dtype:
-            self.held[name] = np.empty(n, dtype)
-        return self.held[name][:n].reshape(shape)
+        out = self.views.get((name, dtype, shape))
+        if out is None:
+            n = math.prod(shape)
+            if name not in self.held or self.held[name].size < n or self.held[name].dtype != dtype:
+                self.held[name] = np.empty(n, dtype)
+                self.views = {k: v for k, v in self.views.items() if k[0] != name}
+            out = self.views[name, dtype, shape] = self.held[name][:n].reshape(shape)
+        return out
 
 
 def _forward(p: dict, ids: np.ndarray, room: Room, safe: bool = False):
@@ -101,7 +109,7 @@ def _forward(p: dict, ids: np.ndarray, room: Room, safe: bool = False):
         np.exp(a, out=a)
     else:
         np.exp(a, out=a)
-        a *= np.where(_FUTURE, 0, np.exp(p["R"])[_REL])
+        a *= np.append(np.exp(p["R"]), kind.type(0)).take(_FAR)
     # The column of ones behind the keys adds the weights up; it is 0 where padded.
     o = np.matmul(a, e, out=room("o", kind, n, SPAN, d + 1)).reshape(rows, d + 1)
     total = o[:, d:].copy()
@@ -228,7 +236,7 @@ def within_memo(p: dict) -> Memo:
     return Memo(lambda pair, _: within(p, pair // size, pair % size))
 
 
-def log_probs(p: dict, inputs: np.ndarray, targets: np.ndarray, batch: int = 64, room: Room | None = None, told: Memo | None = None) -> np.ndarray:
+def log_probs(p: dict, inputs: np.ndarray, targets: np.ndarray, batch: int = 256, room: Room | None = None, told: Memo | None = None) -> np.ndarray:
     """Natural log probability of each target given what precedes it; 0 where padded. ``told``: of ``within_memo``."""
     out, room, told = np.zeros(targets.shape), room or Room(), told or within_memo(p)
     for k in range(0, len(inputs), batch):
@@ -284,7 +292,7 @@ def _gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, room: Room | No
     do /= total
     a *= np.matmul(do.reshape(n, SPAN, d + 1), e.transpose(0, 2, 1), out=room("da", kind, *a.shape))
     near = np.ones(n, kind) @ a.reshape(n, -1)
-    g["R"] = np.bincount(np.where(_FUTURE, 0, _REL).ravel(), np.where(_FUTURE.ravel(), 0, near), minlength=_LENGTH)
+    g["R"] = np.bincount(_FAR.ravel(), near, minlength=_LENGTH + 1)[:_LENGTH]
     met = np.matmul(a, e[:, :, :d], out=room("met", kind, n, SPAN, d)).reshape(-1, d)
     gq = read[:, d : 2 * d].T @ met * kind.type(1 / np.sqrt(d))
     g["Wq"], g["Wk"] = gq @ p["Wk"], gq.T @ p["Wq"]
